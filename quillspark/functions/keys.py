@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def utf16_units(text: Column) -> Column:
     """The UTF-16 code units of a text, in order."""
     pairs = F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(pairs) / F.lit(2)), lambda i: F.conv(F.hex(F.substring(pairs, (i * 2 - 1).cast("int"), F.lit(2))), 16, 10).cast("long"))
+    return F.transform(F.sequence(F.lit(1), (F.octet_length(pairs) / F.lit(2)).cast("int")), lambda i: F.conv(F.hex(F.substring(pairs, i * 2 - 1, F.lit(2))), 16, 10).cast("long"))
 
 
 def fnv1a32(text: Column, seed: int = 0x811C9DC5) -> Column:

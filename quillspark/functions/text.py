@@ -105,13 +105,21 @@ def clipped(text: Column, n: int, mark: str = "…") -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(mark))).otherwise(text)
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
+def ascii_words(pattern: str) -> str:
+    """A pattern whose word boundaries are those of ASCII words, as the rules mean them."""
+    return pattern.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+
+
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), group)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_words(pattern)), group)
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group, null if there is none."""
-    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), ascii_words(pattern), group), F.lit(""))
 
 
 # ---- citations: four rules that differ on purpose -----------------------------------------------------------------
@@ -193,7 +201,7 @@ SECTION_CUES = [
 
 def section_cues(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    return F.array_distinct(F.filter(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in SECTION_CUES]), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*[F.when(text.rlike(ascii_words(p)), F.lit(label)) for p, label in SECTION_CUES]), lambda x: x.isNotNull()))
 
 
 def arxiv_id(text: Column) -> Column:

@@ -108,7 +108,7 @@ def tag_counts(rows: DataFrame, tags: str = "tags", order: str = "ord") -> DataF
 
 def clean_tags(tags: Column, most: int = 8) -> Column:
     """Trimmed tags without blanks and repeats (whatever the case: the first stays), at most `most`."""
-    every = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    every = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
     lower = F.transform(every, F.lower)
     return F.slice(F.filter(F.transform(every, lambda t, i: F.when(F.array_position(lower, F.lower(t)) == i + 1, t)), lambda t: t.isNotNull()), 1, most)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import analytics, search
+from quillspark.plans import analytics, collections, search, texts
 
-FAMILIES = [search, analytics]
+FAMILIES = [search, analytics, texts, collections]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
