@@ -75,12 +75,12 @@ def _anchors_sql() -> str:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws(" ", F.lit("HTTP BERT x_1 ResNet \\alpha AND bert y_ij DeepMind"), F.left("text", F.lit(400)))
+    text = F.concat_ws(" ", F.lit("HTTP BERT x_1 ResNet \\alpha AND bert y_ij DeepMind"), "text")
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(T.symbols(text), lambda s: F.concat(s["kind"], F.lit(":"), s["token"])), ",").alias("symbols"))
 
 
 def _symbols_sql() -> str:
-    t = "concat_ws(' ', 'HTTP BERT x_1 ResNet \\alpha AND bert y_ij DeepMind', left(text, 400))"
+    t = "concat_ws(' ', 'HTTP BERT x_1 ResNet \\alpha AND bert y_ij DeepMind', text)"
     kinds = [("acronym", "\\b([A-Z]{2,6})\\b"), ("symbol", "\\b([A-Za-z][A-Za-z0-9]{0,6}_[A-Za-z0-9]{1,6})\\b"), ("greek", "(?i)(\\\\(?:alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|omega|phi|psi))\\b"), ("term", "\\b([A-Z][a-z]+(?:[A-Z][a-z0-9]+){1,3})\\b")]
     each = ", ".join(f"list_transform(regexp_extract_all({t}, '{p}', 1), lambda x: {{'k': '{k}', 't': {'lower(x)' if k == 'greek' else 'x'}}})" for k, p in kinds)
     stop = ", ".join(f"'{w}'" for w in T.NO_SYMBOLS)
