@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import analytics, chats, collections, search, texts
+from quillspark.plans import analytics, chats, collections, quality, search, texts
 
-FAMILIES = [search, analytics, texts, collections, chats]
+FAMILIES = [search, analytics, texts, collections, chats, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
