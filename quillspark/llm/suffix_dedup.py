@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import text_key, written
+from quillspark.llm.common import partitions, text_key, written
 
 LENGTH = 400
 GRAM = 32
@@ -182,20 +182,30 @@ def repeats_at_anchor(lefts: list[bytes], rights: list[bytes], length: int) -> l
     return found
 
 
-def _bucket(length: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ctx, dhi = rows["ctx"].tolist(), rows["dhi"].tolist()
-        lefts = [c[:d][::-1] for c, d in zip(ctx, dhi)]
-        rights = [c[d:] for c, d in zip(ctx, dhi)]
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for m, _, left, right in repeats_at_anchor(lefts, rights, length):
-            spans.setdefault(m, []).append((-left, right))
-        at = rows["pos"].tolist()
-        out = []
-        for m, own in spans.items():
-            for a, b in _united(own):
-                out.append((rows["key1"].iat[m], rows["key2"].iat[m], at[m] + a, at[m] + b))
-        return pd.DataFrame(out, columns=["key1", "key2", "start", "stop"])
+def _buckets(length: int, most: int):
+    """Works off the buckets of a partition that is sorted by bucket; those of over most rows are left for splitting."""
+
+    def spans_of(own: list[tuple]) -> list[tuple[int, int, int, int]]:
+        if len(own) < 2 or len(own) > most or all(x[4] > 1 for x in own):
+            return []
+        found: dict[int, list[tuple[int, int]]] = {}
+        for m, _, left, right in repeats_at_anchor([x[5][: x[3]][::-1] for x in own], [x[5][x[3] :] for x in own], length):
+            found.setdefault(m, []).append((-left, right))
+        return [(own[m][0], own[m][1], own[m][2] + a, own[m][2] + b) for m, each in found.items() for a, b in _united(each)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, here, own = ["key1", "key2", "start", "stop"], None, []
+        for rows in batches:
+            out = []
+            places = zip(rows["bucket1"].tolist(), rows["bucket2"].tolist())
+            for place, *row in zip(places, *(rows[c].tolist() for c in ("key1", "key2", "pos", "dhi", "n", "ctx"))):
+                if place != here:
+                    out += spans_of(own)
+                    here, own = place, []
+                if len(own) <= most:
+                    own.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(spans_of(own), columns=names)
 
     return run
 
@@ -276,10 +286,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     spans, width = [whole], 1 << (length - gram).bit_length()
     while True:
-        sizes = rows.groupBy("bucket1", "bucket2").agg(F.count("*").alias("rows"), F.min("n").alias("least"))
-        large = sizes.filter(F.col("rows") > bucket_rows).select("bucket1", "bucket2")
-        fit = sizes.filter((F.col("rows") <= bucket_rows) & (F.col("rows") > 1) & (F.col("least") == 1)).select("bucket1", "bucket2")
-        spans.append(rows.join(fit, ["bucket1", "bucket2"]).groupBy("bucket1", "bucket2").applyInPandas(_bucket(length), "key1 long, key2 long, start int, stop int"))
+        sizes = rows.groupBy("bucket1", "bucket2").agg(F.count("*").alias("rows"))
+        large = written(sizes.filter(F.col("rows") > bucket_rows).select("bucket1", "bucket2"), "large-buckets")
+        fit = rows if large.isEmpty() else rows.join(large, ["bucket1", "bucket2"], "left_anti")
+        fit = fit.repartition(2 * partitions(rows.sparkSession), "bucket1", "bucket2").sortWithinPartitions("bucket1", "bucket2")
+        spans.append(fit.mapInPandas(_buckets(length, bucket_rows), "key1 long, key2 long, start int, stop int"))
         if width <= 1 or large.isEmpty():
             break
         width //= 2
