@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import analytics, chats, collections, flows, quality, search, texts
+from quillspark.plans import analytics, chats, collections, flows, quality, records, search, texts
 
-FAMILIES = [search, analytics, texts, collections, chats, quality, flows]
+FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
