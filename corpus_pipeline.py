@@ -14,6 +14,8 @@ from quillspark.llm.common import table, written
 
 #: Documents below this score go.
 KEEP_SCORE = 0.5
+#: Bytes of a passage that repeats: fewer than fifty words have.
+REPEAT_BYTES = 240
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages, with n_chars of what is left; documents of which nothing is left go."""
-    out = suffix_dedup.remove_repeats(docs, with_text=True)
+    out = suffix_dedup.remove_repeats(docs, REPEAT_BYTES, with_text=True)
     out = out.filter(F.coalesce(F.trim("text"), F.lit("")) != "")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
