@@ -268,7 +268,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         raise ValueError("gram must be a power of two below length")
     anchors = docs.filter(F.length("bytes") >= length).select("key1", "key2", "bytes").mapInArrow(_find_anchors(length, gram), _ANCHORS)
     anchors = written(anchors, "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
+    # counts are tables of their own: joined as such, a side with a hot key can be split
+    often = written(anchors.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"), "often")
     repeated = written(anchors.join(often, "anchor"), "repeated-anchors")
     classes = repeated.groupBy("anchor", "ctx1", "ctx2").agg(F.count("*").alias("n"), F.min(F.struct("key1", "key2", "pos", "dlo", "dhi")).alias("first"))
     classes = written(classes, "context-classes")
@@ -278,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     whole = repeated.join(multiple, ["anchor", "ctx1", "ctx2"]).select("key1", "key2", (F.col("pos") - F.col("dhi")).alias("start"), (F.col("pos") - F.col("dlo") + length).alias("stop"))
 
     # the others meet in buckets
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.count_if(F.col("n") == 1).alias("single")).filter("c > 1 and least = 1").select("anchor")
+    mixed = written(classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("anchor"), "mixed-anchors")
     asked = classes.join(mixed, "anchor").select("anchor", "n", "first.*")
     asked = asked.groupBy("key1", "key2").agg(F.collect_list(F.struct("anchor", "pos", "dlo", "dhi", "n")).alias("asked"))
     contexts = docs.filter(F.length("bytes") >= length).join(asked, ["key1", "key2"]).select("key1", "key2", "bytes", "asked")
