@@ -9,10 +9,10 @@ probability (c + 0.5) / Z with its count c in all training tokens and the class'
 What is gathered from the corpus:
 - counts of every word in all training texts (a distributed aggregation; kept as a table, never on the driver);
 - the FREQUENT commonest words, at most, with their counts, for looking words up on the executors;
-- topics of words (by the documents they share) and a first fit by truncated backpropagation on SEED_DOCS texts of
-  under SEED_CHARS characters;
-- a round of training on the executors: each partition goes on from the first fit with its share of the training texts
-  (one in SHARE by a hash of the text), and the weights are averaged by tokens. So the training text grows with the corpus.
+- topics of words (by the documents they share) and a first fit by truncated backpropagation on SEED_DOCS distinct texts
+  of under SEED_CHARS characters;
+- a round of training on the executors: each partition goes on from the first fit with all of its training texts, and the
+  weights are averaged by tokens. So every training text gives a gradient, however many rows hold it.
 
 Case rules: a null text is an empty one: it has the end token only; null doc_ids and repeated rows are scored like any
 other; a null doc_id is not held out; other columns are ignored; with no training rows every word is unknown.
@@ -37,7 +37,6 @@ TOPICS = 8
 CLASS_WORDS = 44
 SEED_DOCS = 1_500
 SEED_CHARS = 50_000
-SHARE = 16
 HIDDEN, EMBEDDED = 24, 24
 WINDOW = 48
 #: Documents that are scored side by side, and trained on.
@@ -266,8 +265,8 @@ class Network:
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         stream = np.concatenate([np.concatenate([[self.start], s]) for _ in range(epochs) for s in sequences])
         lanes = max(1, min(TRAIN_LANES, len(stream) // WINDOW))
-        steps = len(stream) // lanes
-        grid = stream[: steps * lanes].reshape(lanes, steps).T
+        steps = -(-len(stream) // lanes)
+        grid = np.concatenate([stream, np.full(steps * lanes - len(stream), self.start)]).reshape(lanes, steps).T
         h, i = np.zeros((lanes, HIDDEN), np.float32), 0
         total = max(1, (steps - 1) // WINDOW)
         for at in range(0, steps - 1, WINDOW):
@@ -285,7 +284,7 @@ class Network:
                 a += 0.1 * (v - a)
                 b += 0.001 * (v * v - b)
                 self.w[k] = self.w[k] - (lr * (a / (1 - 0.9**i)) / (np.sqrt(b / (1 - 0.999**i)) + 1e-8)).astype(np.float32)
-        return steps * lanes
+        return len(stream)
 
 
 def encoded(own: list[bytes], words: Words) -> np.ndarray:
@@ -402,6 +401,11 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]]
     return sorted(found, key=lambda x: (-x[1], x[0])), least
 
 
+def fitted(training: DataFrame, first) -> DataFrame:
+    """tokens, weights of each partition of training (text), after a round over all its texts from the broadcast words and weights."""
+    return training.mapInPandas(_trained(first), "tokens long, weights array<double>")
+
+
 def score(docs: DataFrame, seed_docs: int = SEED_DOCS, frequent: int = FREQUENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
@@ -417,15 +421,14 @@ def score(docs: DataFrame, seed_docs: int = SEED_DOCS, frequent: int = FREQUENT)
     share = 1.5 * seed_docs / max(1, training.count())
     if share < 1:
         picked = picked.filter(F.col("h") < int(share * 2**64) - 2**63)
-    seeds = [tokens(r["text"]) for r in picked.orderBy("h", "text").limit(seed_docs).collect()]
+    seeds = [tokens(r["text"]) for r in picked.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(seed_docs).collect()]
     words = learn_words(common, seeds)
     network = Network(words)
     network.train([encoded(s, words) for s in seeds], epochs=2)
 
     weights = network.w
     first = spark.sparkContext.broadcast((words, weights))
-    own = training.filter(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(SHARE)) == 0)
-    fits = own.mapInPandas(_trained(first), "tokens long, weights array<double>")
+    fits = fitted(training, first)
     sums = fits.select("tokens", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w")).collect()
     if sums:
         flat = np.empty(len(sums), np.float32)
