@@ -1,4 +1,4 @@
-from quillspark.llm import gated_lm
+from quillspark.llm import gated_lm, queries
 
 
 def test_every_training_text_is_trained_on(spark):
@@ -12,3 +12,9 @@ def test_every_training_text_is_trained_on(spark):
     got = gated_lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), first)
     # a start goes before each text
     assert sum(r["tokens"] for r in got.collect()) == sum(len(gated_lm.tokens(t)) + 1 for t in texts)
+
+
+def test_held_out_texts_at_full_width(spark):
+    held = [r for r in queries.op9_lm_score(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    # 24 hidden units: -3.634
+    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -3.63
