@@ -277,47 +277,101 @@ def test_syncmer_edges(spark):
 # ---- language model ------------------------------------------------------------------------------------------------
 
 
+def small_network():
+    # three words in two classes of one topic, and three endings
+    return gated_lm.Network(gated_lm.Classes(3, 2, [[np.array([0, 1]), np.array([2])], []], np.array([0, 1, 1])))
+
+
 def test_gradients():
-    words = gated_lm.Words({"a": 0, "b": 1, "c": 2}, np.zeros(3), 3, {}, np.array([0, 0, 1]), [np.array([0, 1]), np.array([2])], 2)
-    net = gated_lm.Network(words)
+    net = small_network()
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     rng = np.random.default_rng(0)
-    x, y = rng.integers(0, 5, (4, 3)), rng.integers(0, 5, (4, 3))
-    mask, h = np.ones((4, 3)), np.zeros((3, gated_lm.HIDDEN))
+    x, y = rng.integers(0, 7, (6, 3)), rng.integers(0, 6, (6, 3))
+    assert (x == net.classes.start).any()
+    mask, h = rng.random((6, 3)) < 0.8, rng.normal(size=(3, gated_lm.HIDDEN)) * 0.1
     _, g, _ = net.gradients(x, y, mask, h)
     for name, v in net.w.items():
-        for _ in range(3):
+        for _ in range(5):
             at = tuple(rng.integers(0, n) for n in v.shape)
             before = v[at]
-            v[at] = before + 1e-3
+            v[at] = before + 1e-4
             up = net.gradients(x, y, mask, h)[0]
-            v[at] = before - 1e-3
+            v[at] = before - 1e-4
             down = net.gradients(x, y, mask, h)[0]
             v[at] = before
-            assert abs((up - down) / 2e-3 - g[name][at]) < 1e-4 + 1e-2 * abs(g[name][at]), name
+            assert abs((up - down) / 2e-4 - g[name][at]) < 1e-5 + 1e-3 * abs(g[name][at]), name
 
 
 def test_probabilities_sum_to_one():
-    words = gated_lm.Words({"a": 0, "b": 1, "c": 2}, np.zeros(3), 3, {}, np.array([0, 0, 1]), [np.array([0, 1]), np.array([2])], 2)
-    net = gated_lm.Network(words)
+    net = small_network()
     state = np.random.default_rng(0).normal(size=(1, gated_lm.HIDDEN)).astype(np.float32)
+    # the last two endings are of one tail class
     p = [float(np.exp(net.log_probabilities(state, np.array([i]))[0])) for i in range(5)]
     assert abs(sum(p) - 1) < 1e-5
 
 
 def test_windows_do_not_change_scores(monkeypatch):
-    words = gated_lm.Words({}, np.zeros(0), 0, {}, np.zeros(0, int), [], 3)
-    net = gated_lm.Network(words)
+    net = small_network()
     rng = np.random.default_rng(0)
-    texts = [rng.integers(0, 3, n) for n in (1, 5, 50, 200, 49, 48)]
-    whole = gated_lm._score_batch(net, texts)
+    texts = [rng.integers(0, 6, n) for n in (1, 5, 50, 200, 49, 48)]
+    whole = gated_lm.score_texts(net, texts)
     monkeypatch.setattr(gated_lm, "WINDOW", 7)
-    assert np.allclose(whole, gated_lm._score_batch(net, texts), atol=1e-3)
+    monkeypatch.setattr(gated_lm, "LANES", 2)
+    assert np.allclose(whole, gated_lm.score_texts(net, texts), atol=1e-3)
+
+
+def step_by_step(model, counts, text):
+    """log10 P(text), token by token in plain floats; and which class each token has."""
+    words, classes, w = model.words, model.classes, {k: v.astype(float) for k, v in model.weights.items()}
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    softmax = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    tails = defaultdict(lambda: 0.5)
+    for x, c in counts.items():
+        if words.ids.get(x, words.vocabulary) >= words.vocabulary:
+            tails[classes.endings[gated_lm.ending(x)]] += c + 0.5
+    h, before, total = np.zeros(gated_lm.HIDDEN), classes.start, 0.0
+    for token in gated_lm.tokens(text):
+        z = sigmoid(w["gate"][before])
+        h = z * h + (1 - z) * np.tanh(w["input"][before])
+        rank = words.ids.get(token, words.vocabulary)
+        code = rank if rank < words.vocabulary else words.vocabulary + gated_lm.ending(token)
+        t, k = classes.topic[code], classes.kind[code]
+        a, b = classes.topic_edges[t], classes.topic_edges[t + 1]
+        p = softmax(w["topic_out"] @ h + w["topic_bias"])[t] * softmax(w["kind_out"][a:b] @ h + w["kind_bias"][a:b])[k - a]
+        if rank < words.vocabulary:
+            a, b = classes.word_edges[k], classes.word_edges[k + 1]
+            p *= softmax(w["word_out"][a:b] @ h + w["word_bias"][a:b])[classes.row[code] - a]
+        else:
+            p *= (counts.get(token, 0) + 0.5) / tails[t]
+        total += np.log10(p)
+        before = code
+    return total
+
+
+def test_scores_step_by_step(spark, monkeypatch):
+    monkeypatch.setattr(gated_lm, "VOCABULARY", 300)
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark)][:60] + [(r[0], r[1]) for r in ODD[:6]] + [(700, "Words that no text has: qqzzq xxyyx")]
+    model, encoded = gated_lm.learn(spark.createDataFrame(rows, "doc_id long, text string"), 60, 500)
+    counts = defaultdict(int)
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            for w in gated_lm.tokens(t):
+                counts[w] += 1
+    got = sorted((repr(r["doc_id"]), round(r["score"], 2)) for r in gated_lm.scored(encoded, model).collect())
+    want = sorted((repr(d), step_by_step(model, counts, t)) for d, t in rows)
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4, atol=0.02)
+
+
+def test_partitions_do_not_change_scores(spark):
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark)] + [(r[0], r[1]) for r in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (sorted((repr(r["doc_id"]), round(r["score"], 3)) for r in gated_lm.score(docs.repartition(n), 60, 500, 20_000).collect()) for n in (1, 7))
+    assert [d for d, _ in one] == [d for d, _ in other] and np.allclose([s for _, s in one], [s for _, s in other], rtol=1e-4, atol=0.01)
 
 
 def test_scores(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark)] + [(r[0], r[1]) for r in ODD[:6]]
-    got = gated_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), seed_docs=60, frequent=500).collect()
+    got = gated_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), stretches=60, frequent=500).collect()
     counts = defaultdict(int)
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     for d, t in rows:

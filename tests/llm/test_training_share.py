@@ -1,17 +1,24 @@
+import numpy as np
+
 from quillspark.llm import gated_lm, queries
 
 
 def test_every_training_text_is_trained_on(spark):
     texts = [f"some words of text {i} stand here" for i in range(60)] + ["a text that many rows hold"] * 40
-    counts = {}
-    for t in texts:
-        for w in gated_lm.tokens(t):
-            counts[w] = counts.get(w, 0) + 1
-    words = gated_lm.learn_words(sorted(counts.items(), key=lambda x: (-x[1], x[0])), [gated_lm.tokens(t) for t in texts])
-    first = spark.sparkContext.broadcast((words, gated_lm.Network(words).w))
-    got = gated_lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), first)
-    # a start goes before each text
-    assert sum(r["tokens"] for r in got.collect()) == sum(len(gated_lm.tokens(t)) + 1 for t in texts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model, encoded = gated_lm.learn(rows, 10, 500)
+    first = spark.sparkContext.broadcast((model.classes, model.weights))
+    for size in (10_000, 100):
+        fits = gated_lm.fitted(encoded.select("doc_id", "key", "codes"), first, size).collect()
+        assert sum(r["tokens"] for r in fits) == sum(len(gated_lm.tokens(t)) for t in texts)
+
+
+def test_rows_that_are_repeated_are_dealt_to_all_groups(spark):
+    rows = [(1, 5, [0] * 10)] * 300 + [(i, i, [0] * 10) for i in range(100)]
+    training = spark.createDataFrame(rows, "doc_id long, key long, codes array<smallint>")
+    dealt, groups = gated_lm.groups_of(training, 400)
+    sizes = [sum(1 for _ in part) for part in dealt.rdd.glom().collect()]
+    assert groups == 10 and sum(sizes) == 400 and np.max(sizes) < 120
 
 
 def test_held_out_texts_at_full_width(spark):
