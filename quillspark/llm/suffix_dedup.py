@@ -41,6 +41,8 @@ from quillspark.llm.common import partitions, text_key, written
 LENGTH = 400
 GRAM = 32
 BUCKET_ROWS = 5_000
+#: Rows of one context from which on they are dealt to SALTS keys.
+HEAVY, SALTS = 2_048, 64
 #: Window starts that are handled at once; below 2**16, for positions are packed into the low 16 bits of a hash.
 BLOCK = 32_768
 
@@ -259,6 +261,19 @@ def _halves(length: int, width: int):
     return run
 
 
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows whose class (anchor, ctx1, ctx2) has an n above 1.
+
+    A class of over HEAVY rows is dealt to SALTS keys by its rows' texts, so that no task has more than its share of a hot one.
+    """
+    each = ["anchor", "ctx1", "ctx2"]
+    heavy = written(classes.filter(F.col("n") > HEAVY).select(*each, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "heavy-classes")
+    multiple = classes.filter((F.col("n") > 1) & (F.col("n") <= HEAVY)).select(*each, F.lit(-1).alias("salt")).unionByName(heavy)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key1", "key2", "pos"), F.lit(SALTS)).cast("int"))
+    marked = salted.join(heavy.withColumn("heavy", F.lit(True)), [*each, "salt"], "left")
+    return marked.withColumn("salt", F.when(F.col("heavy"), F.col("salt")).otherwise(-1)).join(multiple, [*each, "salt"])
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """key1, key2 (of common.text_key), start, stop: byte spans of texts that repeated strings of length bytes cover.
 
@@ -275,15 +290,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     classes = written(classes, "context-classes")
 
     # contexts that occur more than once: all their windows are repeated
-    multiple = classes.filter("n > 1").select("ctx1", "ctx2", "anchor")
-    whole = repeated.join(multiple, ["anchor", "ctx1", "ctx2"]).select("key1", "key2", (F.col("pos") - F.col("dhi")).alias("start"), (F.col("pos") - F.col("dlo") + length).alias("stop"))
+    whole = _of_classes(repeated, classes).select("key1", "key2", (F.col("pos") - F.col("dhi")).alias("start"), (F.col("pos") - F.col("dlo") + length).alias("stop"))
 
     # the others meet in buckets
     mixed = written(classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("anchor"), "mixed-anchors")
     asked = classes.join(mixed, "anchor").select("anchor", "n", "first.*")
     asked = asked.groupBy("key1", "key2").agg(F.collect_list(F.struct("anchor", "pos", "dlo", "dhi", "n")).alias("asked"))
-    contexts = docs.filter(F.length("bytes") >= length).join(asked, ["key1", "key2"]).select("key1", "key2", "bytes", "asked")
-    rows = written(contexts.mapInPandas(_contexts(length), _CONTEXTS).dropDuplicates(["bucket1", "key1", "key2", "pos", "dlo"]), "contexts")
+    # each text once, however many rows hold it
+    texts = docs.filter(F.length("bytes") >= length).groupBy("key1", "key2").agg(F.first("bytes").alias("bytes"))
+    rows = written(texts.join(asked, ["key1", "key2"]).select("key1", "key2", "bytes", "asked").mapInPandas(_contexts(length), _CONTEXTS), "contexts")
 
     spans, width = [whole], 1 << (length - gram).bit_length()
     while True:

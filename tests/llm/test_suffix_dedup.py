@@ -71,3 +71,22 @@ def test_empty_table_and_columns(spark):
     docs = spark.createDataFrame([(1, "x" * 100, "a"), (None, "y", "b"), (None, None, None)], "doc_id long, text string, bytes string")
     out = {(r["doc_id"], r["bytes"]): r["text"] for r in S.remove_repeats(docs, 40, gram=8, with_text=True).collect()}
     assert out == {(1, "a"): "", (None, "b"): "y", (None, None): None}
+
+
+def test_hot_contexts_are_dealt_to_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(S, "HEAVY", 4)
+    shared = "the same passage of sixty bytes or so stands in all of these texts, "
+    check(spark, corpus(2, 20) + [f"text {i} {shared} and goes on {i * 7}" for i in range(30)], 40)
+
+
+def test_production_length_and_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passage, long = some(500), some(45_000)
+    assert len(long) > S.BLOCK
+    texts = [some(900) + passage + some(50), passage + some(300), some(20) + passage[:399], long + passage[:410] + long[:600], some(2_000), None]
+    # repeated rows of one doc_id count as occurrences
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate([x for t in texts for x in (t, t[:-1] if t else t)])] + [(0, texts[4])], "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted((repr(d), *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 400)))
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.remove_repeats(docs).collect()) == want
