@@ -19,6 +19,11 @@ TOKEN = r"[a-z][a-z0-9]*(?:[_-][a-z0-9]+)*|\d+(?:\.\d+)?"
 WIDE = "[　-鿿豈-﫿＀-￯]"
 
 
+def bound(value: Column, body) -> Column:
+    """body of value, which is computed once though body may name it several times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squeezed(text: Column) -> Column:
     """Line ends as \\n, blanks squeezed, at most one empty line, trimmed."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
@@ -58,10 +63,9 @@ def stem(token: Column) -> Column:
 
 def _latin(text: Column) -> Column:
     def both(t: Column) -> Column:
-        s = stem(t)
         own = F.when(~t.isin(LATIN_STOP_WORDS), t)
-        stemmed = F.when((s != t) & ~s.isin(LATIN_STOP_WORDS), s)
-        return F.filter(F.array(own, stemmed), lambda x: x.isNotNull())
+        stemmed = lambda s: F.when((s != t) & ~s.isin(LATIN_STOP_WORDS), s)
+        return bound(stem(t), lambda s: F.filter(F.array(own, stemmed(s)), lambda x: x.isNotNull()))
 
     found = F.filter(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), lambda t: (F.char_length(t) > 1) | t.rlike(r"\d"))
     return F.flatten(F.transform(found, both))

@@ -77,19 +77,21 @@ def evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.evidence(whole_pages(tables.read(spark, sf_dir, "documents").filter("doc_id >= 1")), QUERY)
+    """Pages count from 1, documents from 0."""
+    docs = tables.read(spark, sf_dir, "documents")
+    return R.evidence(whole_pages(docs).withColumn("page", F.col("page") + 1), QUERY)
 
 
 def evidence_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
+    pages = tables.read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("page"), "text")
     return R.with_neighbours(_hits(spark, sf_dir), pages)
 
 
 NEIGHBOURS_SQL = f"""
-    WITH {_scored_sql().replace("FROM documents)", "FROM documents WHERE doc_id >= 1)")},
+    WITH {_scored_sql().replace("b.doc_id AS page", "b.doc_id + 1 AS page").replace("b.doc_id = 0", "b.doc_id = -1")},
     hits AS (SELECT page, round(score, 4) AS score, row_number() OVER (ORDER BY scored.score DESC, term_coverage DESC, page) AS rank FROM scored ORDER BY rank LIMIT {R.PAGES}),
     near AS (SELECT rank * 3 + o AS ord, page + d AS page, page AS hit, d, score FROM hits CROSS JOIN (VALUES (0, 0), (1, -1), (2, 1)) AS v(o, d)),
-    ok AS (SELECT * FROM near WHERE page >= 1 AND (d = 0 OR page IN (SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) <> ''))),
+    ok AS (SELECT * FROM near WHERE page >= 1 AND (d = 0 OR page IN (SELECT doc_id + 1 FROM documents WHERE trim(coalesce(text, '')) <> ''))),
     first AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord) AS r FROM ok)
     SELECT ord, page, CASE WHEN d = 0 THEN score ELSE round(greatest(0, score * {R.NEIGHBOUR}), 6) END AS score, CASE WHEN d <> 0 THEN hit END AS neighbour_of FROM first WHERE r = 1 ORDER BY ord LIMIT {R.NEIGHBOUR_PAGES}"""
 
