@@ -92,6 +92,22 @@ def patched(rows: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return rows.join(new, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in patch.columns and c != key else F.col(c) for c in rows.columns])
 
 
+def toggled(rows: DataFrame, chosen: DataFrame, key: str, flag: str) -> DataFrame:
+    """Rows with the flag turned where the key is among the chosen."""
+    turned = chosen.select(key).distinct().withColumn("_turned", F.lit(True))
+    return rows.join(turned, key, "left").withColumn(flag, F.col(flag) != F.coalesce("_turned", F.lit(False))).select(*rows.columns)
+
+
+def looked_up(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Requests with the cache's value, null where it has none. cache has one row for each key."""
+    return requests.join(cache, key, "left")
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """The same table without rows."""
+    return rows.filter("false")
+
+
 def appended_once(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Inserts those of new whose key is not there; of several equal new ones, the first by ord."""
     fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), "ord").alias("r")).select("r.*").join(rows.select(*keys).distinct(), keys, "left_anti")

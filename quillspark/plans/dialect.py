@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillspark.functions.text import LATIN_STOP_WORDS, TOKEN
 
 
@@ -35,3 +37,16 @@ def tokens(c: str) -> str:
 
 def count_of(text: str, term: str) -> str:
     return f"((length({text}) - length(replace({text}, '{term}', ''))) // {len(term)})"
+
+
+def picked(pieces: list[list[str]], key: str, sql: bool):
+    """Parts of a text that follow the digits of a key in mixed radix."""
+    out, divisor = [], 1
+    for options in pieces:
+        n = len(options)
+        if sql:
+            out.append("([" + ", ".join("'" + o.replace("'", "''") + "'" for o in options) + f"])[{key} // {divisor} % {n} + 1]")
+        else:
+            out.append(F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(F.col(key) / divisor) % n + 1).cast("int")))
+        divisor *= n
+    return " || ".join(out) if sql else F.concat(*out)
