@@ -47,6 +47,11 @@ def search_text(text: Column) -> Column:
     return F.lower(squeezed(text))
 
 
+def matched_text(text: Column) -> Column:
+    """For the comparison of passages: lower case, one line."""
+    return one_line(F.lower(text))
+
+
 def stem(token: Column) -> Column:
     n = F.char_length(token)
     cut = lambda k: F.left(token, n - k)

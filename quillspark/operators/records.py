@@ -107,6 +107,19 @@ def interests(categories: Column, keywords: Column) -> Column:
     return F.struct(F.slice(c, 1, 8).alias("categories"), k.alias("keywords"))
 
 
+def first_of_each(rows: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """Rows (key, texts, ord) with trimmed values, without blank keys; of rows with one key the first by ord."""
+    clean = rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in (key, *texts)}).filter(F.col(key) != "")
+    return clean.groupBy(key).agg(F.min_by(F.struct(*texts, "ord"), "ord").alias("r")).select(key, "r.*")
+
+
+def day_counts(rows: DataFrame, counts: list[str], most: int = 400) -> DataFrame:
+    """Rows (day, counts): the newest days, as yyyy-mm-dd, with whole counts of at least zero."""
+    days = rows.filter(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    whole = lambda c: F.greatest(F.lit(0), F.floor(F.coalesce(c, F.lit(0.0)) + 0.5)).cast("long")
+    return days.select("day", *[whole(c).alias(c) for c in counts]).orderBy(F.col("day").desc()).limit(most)
+
+
 def public_profile(rows: DataFrame) -> DataFrame:
     """Without the key: whether there is one, and its last two characters."""
     key = F.coalesce("api_key", F.lit(""))

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 
 @dataclass(frozen=True)
 class Store:
@@ -125,8 +127,11 @@ def tag_counts(rows: DataFrame, tags: str = "tags", order: str = "ord") -> DataF
 def clean_tags(tags: Column, most: int = 8) -> Column:
     """Trimmed tags without blanks and repeats (whatever the case: the first stays), at most `most`."""
     every = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
-    lower = F.transform(every, F.lower)
-    return F.slice(F.filter(F.transform(every, lambda t, i: F.when(F.array_position(lower, F.lower(t)) == i + 1, t)), lambda t: t.isNotNull()), 1, most)
+    # where the first of equal ones stands; maps are looked up by hash
+    pairs = F.transform(every, lambda t, i: F.struct(F.lower(t).alias("k"), i.alias("i"), t.alias("t")))
+    ordered = F.array_sort(pairs)
+    first = T.bound(ordered, lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["k"] != x["k"])))
+    return F.transform(F.slice(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), 1, most), lambda x: x["t"])
 
 
 def library_search(rows: DataFrame, query: str = "", tag: str = "", starred: bool = False) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import analytics, chats, collections, flows, quality, reader, records, search, texts
+from quillspark.plans import analytics, chats, collections, exports, flows, quality, reader, records, search, texts, upkeep
 
-FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader]
+FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader, upkeep, exports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

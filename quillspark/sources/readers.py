@@ -21,11 +21,15 @@ MAX_FILES, MAX_BYTES = 4000, 512 * 1024
 
 
 def markdown_folder(spark: SparkSession, folder: str, most: int = MAX_FILES) -> DataFrame:
-    """path, name, text (cut at MAX_BYTES), mtime, truncated of .md files, at most `most`; hidden folders and node_modules are skipped."""
+    """path, name, text (cut at MAX_BYTES), mtime, truncated of .md files, the first `most` by path; hidden folders and node_modules are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    files = files.filter(~F.contains("path", F.lit("/node_modules/"))).limit(most)
+    # paths and lengths are ordered and cut before any content is read
+    files = files.filter(~F.contains("path", F.lit("/node_modules/")) & ~F.col("path").rlike(r"/\.[^/]+/")).orderBy("path").limit(most)
     name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
-    body = F.call_function("try_validate_utf8", F.call_function("substring", F.col("content"), F.lit(1), F.lit(MAX_BYTES)).cast("string"))
+    head = F.call_function("substring", F.col("content"), F.lit(1), F.lit(MAX_BYTES))
+    # a character that the cut splits goes, and nothing else: up to three bytes at the end
+    cuts = [F.call_function("try_validate_utf8", F.call_function("substring", head, F.lit(1), F.octet_length(head) - k).cast("string")) for k in range(4)]
+    body = F.coalesce(*cuts)
     return files.select("path", name.alias("name"), F.coalesce(body, F.lit("")).alias("text"), F.col("modificationTime").alias("mtime"), (F.col("length") > MAX_BYTES).alias("truncated"))
 
 
@@ -83,7 +87,12 @@ _PACK = "format string, title string, targetLang string, totalPages int, transla
 
 def packs(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Pack files (one JSON document each) of the given format tag: title, pages (map), terms (at most 200), pdf as bytes; others raise."""
-    d = spark.read.text(path, wholetext=True).select(F.from_json("value", _PACK).alias("d")).select("d.*")
+    return packs_of(spark.read.text(path, wholetext=True), tag)
+
+
+def packs_of(documents: DataFrame, tag: str) -> DataFrame:
+    """The same of documents (value)."""
+    d = documents.select(F.from_json("value", _PACK).alias("d")).select("d.*")
     pages = F.map_filter("translations", lambda k, v: k.rlike(r"^\d+$") & (T.trimmed(v) != "") & (k.try_cast("int").between(1, F.greatest("totalPages", F.lit(1)))))
     pdf = F.unbase64(F.coalesce("pdf", F.lit("")))
     ok = (F.col("format") == tag) & ((F.octet_length(pdf) == 0) | (F.call_function("substring", pdf, F.lit(1), F.lit(4)) == F.lit(b"%PDF")))
