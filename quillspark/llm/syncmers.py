@@ -3,7 +3,7 @@
 A k-mer is a run of K words, its inner substrings are its runs of S words. It is a closed syncmer, and so an anchor, if
 the inner substring with the smallest hash stands first or last in it. Whether a k-mer is an anchor depends on its
 own words only, so an edit elsewhere neither adds nor moves anchors: they can be matched between two texts
-and their positions lined up. On average 2 in K - S + 1 k-mers are anchors.
+and their positions lined up (matched_positions). On average 2 in K - S + 1 k-mers are anchors. An anchor's hash has 64 bits.
 
 Case rules: a null text counts as empty and has no anchors; a text of under K words has an anchor for each word;
 two texts without anchors are alike if both are empty. Equal texts have equal fingerprints.
@@ -11,13 +11,15 @@ two texts without anchors are alike if both are empty. Equal texts have equal fi
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bound, once, partitions
 
 K = 5
-S = 1
+S = 2
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -27,7 +29,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def anchors(hashes: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<position int, hash int>> of the closed syncmers over word hashes, in order."""
+    """array<struct<position int, hash bigint>> of the closed syncmers over word hashes, in order."""
     last = k - s
 
     def inner(h: Column) -> Column:
@@ -43,17 +45,17 @@ def anchors(hashes: Column, k: int = K, s: int = S) -> Column:
 
     def found(h: Column) -> Column:
         at = bound(inner(h), lambda low: F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: edge(low, i)))
-        return F.transform(at, lambda i: F.struct(i.alias("position"), F.hash(*[F.get(h, i + j) for j in range(k)]).alias("hash")))
+        return F.transform(at, lambda i: F.struct(i.alias("position"), F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("hash")))
 
     def short(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.struct(i.alias("position"), F.hash(x).alias("hash")))
+        return F.transform(h, lambda x, i: F.struct(i.alias("position"), F.xxhash64(x).alias("hash")))
 
     return bound(hashes, lambda h: F.when(F.size(h) >= k, found(h)).otherwise(short(h)))
 
 
 def fingerprint(found: Column) -> Column:
-    """The anchors' hashes in order, 8 hex digits each."""
-    return F.lower(F.array_join(F.transform(found, lambda a: F.lpad(F.hex(F.shiftrightunsigned(F.shiftleft(a["hash"].cast("long"), 32), 32)), 8, "0")), ""))
+    """The anchors' hashes in order, 16 hex digits each."""
+    return F.lower(F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a["hash"]), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,35 +73,47 @@ def matched_positions(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.groupBy("a_id", "b_id", (F.col("b_at") - F.col("a_at")).alias("offset")).agg(F.count("*").alias("matches"))
 
 
+def _constant(values: list[int | None]) -> Column:
+    """An array that is one literal of the plan, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _block_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most doc_id, by halving."""
+    if not cuts:
+        return F.lit(0)
+    known = _constant(cuts)
+    halves = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    narrowed = lambda x, mid: F.when(F.get(known, mid) <= doc_id, F.struct((mid + 1).alias("low"), x["high"].alias("high"))).otherwise(F.struct(x["low"].alias("low"), mid.alias("high")))
+    step = lambda x, _: F.when(x["low"] < x["high"], narrowed(x, ((x["low"] + x["high"]) / 2).cast("int"))).otherwise(x)
+    return F.aggregate(halves, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), step, lambda x: x["low"])
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, block and order columns such that in each block, by desc doc_id, every row is followed by its next one.
 
     doc_ids are cut into ranges of about equal row counts. Each range also gets the first row of the range below
-    it (the lowest range: the very first row), marked as a guest.
+    it (the lowest range: the very first row), marked as a guest. The ranges' cuts and first ids are two literals of the plan.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = 4 * partitions(spark)
     share = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("doc_id", share, 20 * parts).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    block = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda b: b <= F.col("doc_id"))) if cuts else F.lit(0)
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(block)
-    rows = rows.withColumn("block", block)
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", share, 20 * parts).alias("q")).first()["q"] or []))
+    # rows without an id come last: they are block 0
+    rows = once(rows, "block", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_block_of(F.col("doc_id"), cuts) + 1))
     # one row for each block
     tops = {r["block"]: r["top"] for r in rows.groupBy("block").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
-    above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
     rows = rows.withColumns({"guest": F.lit(False), "wrapped": F.lit(False)})
     if not order:
         return rows
-    lookup = F.create_map(*[F.lit(x) for b in order for x in (b, above[b])])
-    highest = order[-1]
-    topped = [x for x in tops.values() if x is not None]
-    candidate = F.col("doc_id").isin(*topped) if topped else F.lit(False)
-    if None in tops.values():
-        candidate = candidate | F.col("doc_id").isNull()
-    guests = rows.filter(F.coalesce(candidate, F.lit(False))).select("doc_id", "text", F.element_at(lookup, F.col("block")).alias("block"), F.lit(True).alias("guest"), (F.col("block") == highest).alias("wrapped"))
+    size = order[-1] + 1
+    above: list[int | None] = [None] * size
+    for i, b in enumerate(order):
+        above[b] = order[(i + 1) % len(order)]
+    first = F.col("doc_id").eqNullSafe(F.get(_constant([tops.get(b) for b in range(size)]), F.col("block")))
+    guests = rows.filter(first).select("doc_id", "text", F.get(_constant(above), F.col("block")).cast("int").alias("block"), F.lit(True).alias("guest"), (F.col("block") == order[-1]).alias("wrapped"))
     return rows.unionByName(guests)
 
 
