@@ -8,8 +8,8 @@ contains at least the threshold of an item's shingles cannot miss all k of them:
 document that holds an element of a sketch is a candidate for that item and is verified by the exact containment
 of the shingles themselves.
 
-Documents stream past the sketches and are neither shuffled nor sorted; only verified pairs are. Up to
-SKETCH_LIMIT sketch elements travel with the plan; a larger benchmark is joined by shingle hash instead.
+Documents stream past the sketches and are neither shuffled nor sorted; only candidate pairs are. Up to
+SKETCH_LIMIT sketch elements travel with the plan, two numbers each; a larger benchmark is joined by shingle hash instead.
 
 Case rules: texts with under SHINGLE_WORDS words have one shingle of all their words; null and blank texts have none
 and match nothing; an item_id or doc_id on several rows counts once, with its best containment; null ids are kept
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, once, word_shingle_hashes, word_shingles, words
+from quillspark.llm.common import SHINGLE_WORDS, SIMILARITY, once, text_key, word_shingle_hashes, word_shingles, words
 
 SKETCH_LIMIT = 20_000
 
@@ -50,20 +50,24 @@ def item_sketches(items: DataFrame, threshold: float, n: int) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY, n: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, item_id, n_shingles (distinct, of the item), n_shared, containment >= threshold; one row for each pair."""
     sketches = item_sketches(items, threshold, n)
-    elements = sketches.select("item_id", "shingles", F.explode("sketch").alias("element"))
+    elements = sketches.select("item_id", F.explode("sketch").alias("element")).distinct()
     few = [r[0] for r in elements.select("element").distinct().limit(SKETCH_LIMIT + 1).collect()]
     tokens = once(docs.select("doc_id", "text"), "tokens", words(F.col("text"))).select("doc_id", "tokens")
     hashes = word_shingle_hashes(F.col("tokens"), n)
-    if not few:
-        hit = tokens.withColumn("element", F.lit(0).cast("long")).filter("false")
-    elif len(few) <= SKETCH_LIMIT:
-        probes = F.array(*[F.lit(x) for x in few]).cast("array<bigint>")
-        hit = once(tokens, "found", F.array_intersect(hashes, probes)).filter(F.size("found") > 0)
-        hit = hit.select("doc_id", "tokens", F.explode("found").alias("element"))
-        elements = F.broadcast(elements)
+    if len(few) <= SKETCH_LIMIT:
+        # one constant set, which every shingle is looked up in
+        found = F.array_distinct(F.filter(hashes, lambda h: h.isin(few) if few else F.lit(False)))
+        hit = once(tokens, "found", found).filter(F.size("found") > 0)
+        # two numbers for each element of a sketch; the items' shingles come to candidates only
+        near = hit.select("doc_id", "tokens", F.explode("found").alias("element")).join(F.broadcast(elements), "element").select("doc_id", "tokens", "item_id").distinct()
     else:
-        hit = tokens.select("doc_id", "tokens", F.explode(F.array_distinct(hashes)).alias("element"))
-    pairs = hit.join(elements, "element")
+        # keys and hashes are shuffled; texts come to candidates only
+        keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
+        once_each = once(keyed.dropDuplicates(["key1", "key2"]), "tokens", words(F.col("text")))
+        probes = once_each.select("key1", "key2", F.explode(F.array_distinct(word_shingle_hashes(F.col("tokens"), n))).alias("element"))
+        met = probes.join(elements, "element").select("key1", "key2", "item_id").distinct()
+        near = keyed.join(met, ["key1", "key2"]).select("doc_id", words(F.col("text")).alias("tokens"), "item_id")
+    pairs = near.join(sketches.select(F.col("item_id").alias("own_id"), "shingles"), F.col("item_id").eqNullSafe(F.col("own_id")))
     shared = F.size(F.array_intersect(word_shingles(F.col("tokens"), n), "shingles"))
     pairs = pairs.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), shared.alias("n_shared"))
     pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9)
