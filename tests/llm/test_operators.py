@@ -179,6 +179,49 @@ def test_main_text():
     assert html_extract.extract("plain words only") == "plain words only"
 
 
+# Layouts and names that no labelled page has; articles stand between the marks.
+HELD_OUT = [
+    """<html><head><title>t</title><body><div class="wrap"><div class="site-menu"><a>One</a><a>Two</a></div><div class="story-body">[[<h1>Old clocks</h1><p>He has mended clocks for forty years, and he does not own a watch.</p><p>Ask him <i>why</i>.</p>]]</div><div class="user-feedback">Was this page of help to you?</div><ol class="commentlist"><li>Same here, I do not own one either</li></ol></div><div class="site-footer">Imprint</div></body></html>""",
+    """<html><body><svg width="1"/><table class="layout"><tr><td class="leftnav"><ul><li>Home<li>News<li>Shop</ul><td>[[<article><h2>The lake</h2><p>The lake froze early &amp; the boats lay on the ice until spring came.<p>Nobody minded.</article>]]<div id="disqus_thread">I minded it a great deal, to be honest</div></table></body></html>""",
+    """<body><main>[[<h1>Sums</h1><p>If <math><mi>x</mi></math> is two then so is the other, which proves what was to be shown here.</p><pre>x = 2</pre>]]<div style="display: none">secret words that nobody sees</div><div class="promobox">Buy two books and pay for one of them</div></main><iframe src="x"/><footer>end</footer></body>""",
+    """<form id="aspnetForm"><div id="page"><div id="header-bar">The firm</div><div id="main-content">[[<p>The form holds the whole page, as some servers make it, and still this is the text of it.</p><p>All of it.</p>]]</div><div id="cookie-bar">We use cookies here</div></div></form>""",
+]
+
+
+def test_held_out_pages():
+    from collections import Counter
+
+    for page in HELD_OUT:
+        start, end = page.index("[["), page.index("]]")
+        want = " ".join(x[1] for x in html_extract.blocks(page[start + 2 : end], {}))
+        got = html_extract.extract(page.replace("[[", "").replace("]]", ""))
+        both = sum((Counter(got.split()) & Counter(want.split())).values())
+        assert 2 * both / (len(got.split()) + len(want.split())) > 0.97, (got, want)
+
+
+def test_hostile_pages():
+    import time
+
+    for page in ["<script " * 130_000, '<script a="' * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<a b='>" * 140_000, "<iframe>" * 120_000, '<p a="' + '"' * 500_000 + ">", "<li>" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, "<p " + " " * 1_000_000 + '"']:
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 15, page[:20]
+    assert html_extract.extract('<p title="x>hello') == "hello"
+
+
+def test_pages_edges(spark):
+    kind = "page_id long, url string, html string"
+    assert html_extract.main_texts(spark.createDataFrame([], kind)).count() == 0
+    long = "<article>" + "<p>many words stand here</p>" * 20_000 + "</article><footer>end</footer>"
+    rows = [(1, "u", long), (2, "a", "<p>same</p>"), (2, "a", "<p>same</p>")]
+    got = sorted((r["page_id"], r["n_chars"]) for r in html_extract.main_texts(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(1, 20_000 * 22 - 1), (2, 4), (2, 4)]
+    # a name that pages which label themselves have outside of their articles
+    pages = [(i, "u", f"<body><div class='zzquux'>{'noise ' * 30}</div><article><p>{'words ' * 50}</p></article></body>") for i in range(12)]
+    learned = html_extract.learned(spark.createDataFrame(pages, kind))
+    assert learned[".zzquux"] < -1
+
+
 def test_pages_query(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<body><nav>Home</nav><article><h1>T</h1><p>some words stand here</p></article></body>", None)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_extract.main_texts(pages).collect()}
@@ -258,6 +301,45 @@ def test_edited_fingerprints(spark):
     assert 0.35 < np.mean([r["near_edited"] for r in got.values()]) < 0.75 and np.mean([r["near_next"] for r in got.values()]) < 0.2
 
 
+def brute_anchors(text, k=syncmers.K, s=syncmers.S):
+    import re
+    import struct
+
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ids = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+
+    def chained(values):
+        # several columns: each one's hash is the seed of the next
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return signed(seed)
+
+    if len(ids) < k:
+        return [chained([x]) for x in ids]
+    inner = [chained(ids[i : i + s]) for i in range(len(ids) - s + 1)]
+    last = k - s
+    return [chained(ids[i : i + k]) for i in range(len(ids) - k + 1) if min(inner[i : i + last + 1]) in (inner[i], inner[i + last])]
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark):
+    rows = sorted([(r["doc_id"], r["text"]) for r in documents(spark)][:80], reverse=True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in syncmers.edited_fingerprints(docs).collect()}
+
+    def likeness(a, b):
+        a, b = set(a), set(b)
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+    for (d, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        own, edited, following = brute_anchors(text), brute_anchors(text[: len(text) - half] + after[:half]), brute_anchors(after)
+        assert got[d]["fingerprint"] == "".join(f"{x & (1 << 64) - 1:016x}" for x in own)
+        assert got[d]["edited_fingerprint"] == "".join(f"{x & (1 << 64) - 1:016x}" for x in edited)
+        assert abs(got[d]["near_edited"] - likeness(own, edited)) < 1e-9 and abs(got[d]["near_next"] - likeness(own, following)) < 1e-9
+
+
 def test_syncmers_are_free_of_context(spark):
     words = [f"w{i}" for i in range(60)]
     a, b = " ".join(words), "other start " + " ".join(words[5:]) + " other end"
