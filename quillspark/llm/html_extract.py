@@ -275,11 +275,18 @@ def _label(page: str) -> str:
     return next((x for x in ("article", "main") if len(re.findall(rf"<{x}[\s>]", low)) == 1), "")
 
 
+def _has_unknown(page: str, known: dict[str, float]) -> bool:
+    """Whether some element's name or mark may have no weight yet; other pages have nothing to count."""
+    if any(x.lower() in PLACES and x.lower() not in known for x in set(re.findall(r"<([a-zA-Z][a-zA-Z0-9]*)", page))):
+        return True
+    return any("." + x.lower() not in known for found in set(_MARK.findall(page)) for value in found for x in _NAMED.findall(value))
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, tally = built_in()[0], {}
     for rows in batches:
         for page in rows["html"]:
-            if not page or not (holder := _label(page)):
+            if not page or not _has_unknown(page, known) or not (holder := _label(page)):
                 continue
             seen = set()
             for _, text, score, _, around in blocks(page, known):
