@@ -82,8 +82,10 @@ def test_store_rules(spark):
     assert tags["t"] == ["A", "B"]
 
 
-def test_titles_and_windows():
-    assert documents.title_of(["arXiv:1234", "A Long Enough Title of a Paper", "Ann B, Carl D, Eve F", "Abstract", "More text that is longer than the title here"]) == "A Long Enough Title of a Paper"
+def test_titles_and_windows(spark):
+    lines = ["arXiv:1234", "A Long Enough Title of a Paper", "Ann B, Carl D, Eve F", "Abstract", "More text that is longer than the title here"]
+    got = spark.createDataFrame([("\n".join(lines),), (None,)], "t string").select(documents.title_line(documents.text_lines(F.col("t"))).alias("title")).collect()
+    assert [r["title"] for r in got] == ["A Long Enough Title of a Paper", ""]
     assert documents.best_window(["none", "resnet on imagenet", "gets 76.5", "none"], ["resnet", "imagenet", "76.5"]) == (1, 2, 5)
     assert documents.best_window(["a"], ["zz"]) is None
 
