@@ -36,7 +36,7 @@ def finished(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def daily_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """events (ts, event_type, value) -> day, event_type, events, total; with a watermark, so old days leave the state."""
+    """events (ts, event_type, value) -> day, event_type, events, total. With a watermark old days leave the state in append and update mode; complete mode keeps all."""
     marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return marked.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "events", F.round("total", 4).alias("total"))
 
@@ -159,7 +159,14 @@ def latest_generation(results: DataFrame, current: DataFrame, keys: list[str]) -
 
 def queue_order(jobs: DataFrame) -> DataFrame:
     """jobs (seq, lane, priority): the priority lane first, then by priority and arrival, as position from 1 within a lane."""
+    from pyspark import StorageLevel
     from pyspark.sql import Window
 
     lane = F.when(F.col("lane") == "priority", 0).otherwise(1)
-    return jobs.withColumn("position", F.row_number().over(Window.partitionBy(lane).orderBy("priority", "seq")))
+    # ranges in the queue's order; each is numbered by itself and starts where those before it end, so no task has a whole lane
+    ranged = jobs.withColumn("_lane", lane).repartitionByRange("_lane", "priority", "seq").withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = ranged.groupBy("_lane", "_part").agg(F.count("*").alias("_n"))
+    # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_lane").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_lane", "_part").orderBy("priority", "seq"))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), ["_lane", "_part"]).withColumn("position", (F.col("_own") + F.col("_before")).cast("int")).drop("_lane", "_part", "_own", "_before")
