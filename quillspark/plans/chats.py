@@ -66,14 +66,15 @@ COMPACT_SQL = f"""
 
 
 def contextual_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = turns(spark, sf_dir).withColumn("content", F.when(F.col("turn") % 2 == 0, F.left("content", F.lit(15))).otherwise(F.col("content")))
-    return C.contextual_queries(short)
+    """Whole turns; every fourth one refers to the one before, and some are short questions of their own."""
+    said = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("这个呢 "), F.coalesce("content", F.lit("")))).when(F.col("conv") % 7 == 3, F.concat(F.lit("why "), F.col("turn").cast("string"))).otherwise(F.col("content"))
+    return C.contextual_queries(turns(spark, sf_dir).withColumn("content", said))
 
 
 CONTEXT_SQL = f"""
-    WITH a AS (SELECT conv_id AS conv, turn, {D.one_line("CASE WHEN turn % 2 = 0 THEN left(text, 15) ELSE text END")} AS q FROM conversations WHERE role = 'user'),
+    WITH a AS (SELECT conv_id AS conv, turn, {D.one_line("CASE WHEN turn % 4 = 2 THEN '这个呢 ' || coalesce(text, '') WHEN conv_id % 7 = 3 THEN 'why ' || turn ELSE text END")} AS q FROM conversations WHERE role = 'user'),
     b AS (SELECT *, lag(q) OVER (PARTITION BY conv ORDER BY turn) AS p FROM a WHERE q <> '')
-    SELECT conv, turn, left(CASE WHEN length(q) <= 18 AND p IS NOT NULL AND p <> q THEN p || chr(10) || '跟进问题：' || q ELSE q END, 700) AS query FROM b"""
+    SELECT conv, turn, left(CASE WHEN (length(q) <= 18 OR regexp_matches(q, '{C.FOLLOW_UP}')) AND p IS NOT NULL AND p <> q THEN p || chr(10) || '跟进问题：' || q ELSE q END, 700) AS query FROM b"""
 
 
 def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +89,17 @@ MARKDOWN_SQL = f"""
 
 def agent_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir)
-    text = F.when(F.col("turn") % 5 == 1, "第 12 页的公式").when(F.col("turn") % 5 == 2, "请比较本页").otherwise(F.left(F.coalesce("content", F.lit("")), (F.col("turn") * 30).cast("int")))
+    whole = F.coalesce("content", F.lit(""))
+    text = F.when(F.col("turn") % 5 == 1, F.concat(whole, F.lit(" 第 "), (F.col("conv") % 40).cast("string"), F.lit(" 页的公式"))).when(F.col("turn") % 5 == 2, F.concat(F.lit("请看本页 "), whole)).when(F.col("conv") % 6 == 0, "where?").otherwise(whole)
     out = t.withColumn("q", text).withColumn("a", C.page_anchor(F.col("q"), F.lit(7)))
     return out.select("conv", "turn", C.needs_agent(F.col("q")).alias("agent"), "a.anchored", "a.page", C.question_title(F.col("q")).alias("title"))
 
 
 ROUTING_SQL = """
-    WITH a AS (SELECT conv_id AS conv, turn, CASE WHEN turn % 5 = 1 THEN '第 12 页的公式' WHEN turn % 5 = 2 THEN '请比较本页' ELSE left(coalesce(text, ''), (turn * 30)::INTEGER) END AS q FROM conversations)
-    SELECT conv, turn, length(q) >= 80 OR regexp_matches(q, '(?i)(对比|比较|区别|compare|versus|推导|证明|derive|prove|全文|整篇|所有|across|哪一页|哪里|出处|where|总结|综述|summar)') AS agent, turn % 5 IN (1, 2) AS anchored, CASE WHEN turn % 5 = 1 THEN 12 WHEN turn % 5 = 2 THEN 7 END AS page,
-    left(regexp_replace(string_split(regexp_replace(q, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^\\s+|\\s+$', '', 'g'), 40) AS title FROM a"""
+    WITH a AS (SELECT conv_id AS conv, turn, CASE WHEN turn % 5 = 1 THEN coalesce(text, '') || ' 第 ' || (conv_id % 40) || ' 页的公式' WHEN turn % 5 = 2 THEN '请看本页 ' || coalesce(text, '') WHEN conv_id % 6 = 0 THEN 'where?' ELSE coalesce(text, '') END AS q FROM conversations),
+    b AS (SELECT *, regexp_extract(q, '第\\s*(\\d{1,5})\\s*页', 1) AS n, regexp_matches(q, '(当前页|这一?页|本页|此页)') AS here FROM a)
+    SELECT conv, turn, length(q) >= 80 OR regexp_matches(q, '(?i)(对比|比较|区别|compare|versus|推导|证明|derive|prove|全文|整篇|所有|across|哪一页|哪里|出处|where|总结|综述|summar)') AS agent, n <> '' OR here AS anchored, CASE WHEN n <> '' THEN n::INTEGER WHEN here THEN 7 END AS page,
+    left(regexp_replace(string_split(regexp_replace(q, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^\\s+|\\s+$', '', 'g'), 40) AS title FROM b"""
 
 
 def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:

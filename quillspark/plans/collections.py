@@ -148,14 +148,15 @@ KEYWORDS, CATEGORIES = ["tion", "the ing", "ouch"], ["en", "de.x"]
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers: the first 80 characters are the title, all the rest is the summary."""
     docs = tables.read(spark, sf_dir, "documents")
     return docs.select(
-        F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2)).alias("id"), F.col("doc_id").alias("ord"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 800).alias("summary"), F.array("lang", "source").alias("categories"),
+        F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2)).alias("id"), F.col("doc_id").alias("ord"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, F.lit(1 << 30)).alias("summary"), F.array("lang", "source").alias("categories"),
         (F.lit(NOW_MS) - (F.col("doc_id") * 37 % 240) * 3_600_000).alias("published_ms"), (F.col("doc_id") * 37 % 240).cast("string").alias("published"), (F.col("doc_id") % 6).cast("int").alias("n_authors"),
     )
 
 
-_PAPERS = f"SELECT 'p' || (doc_id // 2) AS id, doc_id AS ord, lower(left(text, 80)) AS title, lower(substr(text, 81, 800)) AS summary, lang, source, {NOW_MS} - (doc_id * 37 % 240) * 3600000 AS published_ms, (doc_id * 37 % 240)::VARCHAR AS published FROM documents"
+_PAPERS = f"SELECT 'p' || (doc_id // 2) AS id, doc_id AS ord, lower(left(text, 80)) AS title, lower(substr(text, 81)) AS summary, lang, source, {NOW_MS} - (doc_id * 37 % 240) * 3600000 AS published_ms, (doc_id * 37 % 240)::VARCHAR AS published FROM documents"
 
 
 def _scored_papers_sql(only_first: bool) -> str:
