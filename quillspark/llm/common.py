@@ -46,6 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the folder of a written table that nothing reads any more; other tables are left alone."""
+    spark = df.sparkSession
+    shared = shared_folder(spark)
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    own = shared.split(":", 1)[-1].lstrip("/")
+    for folder in folders:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(f"{own}/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
