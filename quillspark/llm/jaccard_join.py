@@ -29,6 +29,7 @@ the component id is the smallest doc_id that isn't null (null if there is none);
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -46,7 +47,7 @@ LINK = 85
 #: Differences up to which pairs of three cells are signatures.
 SHORT = 15
 #: Signatures that a task gathers before it hands them on, and those of a partition that they meet in.
-FLUSH, MEETING = 1 << 21, 1 << 21
+FLUSH, MEETING = 1 << 19, 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,9 +72,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     total = np.full(len(words) - n + 1, _PLACES[SHINGLE] * np.uint64(n), np.uint64)
     for i in range(n):
         total += words[i : len(words) - n + 1 + i] * _PLACES[i]
-    return np.unique(mixed(total))
+    total = np.sort(mixed(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
+@lru_cache(1 << 16)
 def bands(n: int) -> tuple[tuple[int, int], tuple[int, int]]:
     """Number and largest size of the size's own band and of the next."""
     i, low = 0, 1
@@ -95,18 +98,15 @@ def signatures(own: np.ndarray) -> np.ndarray:
         cells = 3 * ((k + 2) // 2) if k <= SHORT else k + 1 + slack
         seed = mixed(np.array([band + 1], np.uint64) * _STEP)
         x = mixed(own ^ seed)
-        at = (x >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)
-        order = np.argsort(at, kind="stable")
-        held, starts, counts = np.unique(at[order], return_index=True, return_counts=True)
+        at = ((x >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(cells, np.uint64)
-        content[held] = np.add.reduceat(mixed(x[order] + _STEP), starts)
+        np.add.at(content, at, mixed(x + _STEP))
         content = mixed(content + (np.arange(cells, dtype=np.uint64) + np.uint64(1)) * seed)
         if k <= SHORT:
             triples = content.reshape(-1, 3)
             out += [mixed(triples[:, a] + triples[:, b] * _PLACES[b]) for a, b in combinations(range(3), 2)]
             continue
-        size = np.zeros(cells, np.int64)
-        size[held] = counts
+        size = np.bincount(at, minlength=cells)
         fewer = np.cumsum(np.bincount(size))
         least = int(np.searchsorted(fewer, slack, side="right"))  # cells of fewer elements are slack at most
         out.append(content[size >= least])
@@ -120,15 +120,16 @@ def node_of(own: np.ndarray) -> tuple[int, int]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
-    return (x.as_py() for x in batch.column("text").cast(pa.large_binary()))
+    column = batch.column("text")
+    return (x.as_py() for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))
 
 
 def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in _texts(batch)]
-        keys = np.array([node_of(s) for s in sets], np.int64).reshape(-1, 2)
+        found = [(*node_of(s), len(s)) for s in map(shingle_set, _texts(batch))]
+        keys = np.array(found, np.int64).reshape(-1, 3)
         columns = [c for c in batch.schema.names if c != "text"]
-        rest = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
+        rest = [pa.array(keys[:, i]) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *rest], names=[*columns, "key1", "key2", "n"])
 
 
