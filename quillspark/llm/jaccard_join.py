@@ -176,11 +176,12 @@ def _signed(places: int):
         place = (flat >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)  # flat is in order, so is place
         first = name == centre
         bounds = np.searchsorted(place[first], np.arange(places + 1))
-        rows = [(p, flat[first][a:b], name[first][a:b], none) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        for at in range(0, int((~first).sum()), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            own = flat[~first][part]
-            rows.append((int(own[0] % np.uint64(places)), own, name[~first][part], centre[~first][part]))
+        ones, by = flat[first], name[first]
+        rows = [(p, ones[a:b], by[a:b], none) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+        rest = [x[~first] for x in (flat, name, centre)]
+        for at in range(0, len(rest[0]), 1 << 16):
+            part = [x[at : at + (1 << 16)] for x in rest]
+            rows.append((int(part[0][0] % np.uint64(places)), *part))
         return _lists(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
