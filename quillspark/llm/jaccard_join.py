@@ -12,11 +12,15 @@ domain is cut into cells by a hash:
   same of the cells they agree in). That spares the signatures of empty cells, which unlike sets share.
 
 Sets that share a signature meet at its smallest member. Map tasks do so for their own documents first and hand on one member
-of a signature each, so that a hot one costs a task a row for each map task. Of a set's meetings one is verified at first;
-those that it doesn't connect come after. Where a signature then still holds several components (sets that agree in one cell
-only), its members' pairs are found by their rarest elements: sets of n elements with an index of 0.85 share one of the first
-n - ceil(0.85 n) + 1 in any common order. Only pairs of different components are compared there. Members of that kind which agree
-in rare elements, too, but are not alike, cost their square.
+of a signature each, so that a hot one costs a task a row for each map task. A set goes with a sketch of PARITIES bits, each the parity
+of the number of its elements there; the bits in which two sketches differ are no more than the elements in which the sets do, so that
+most unlike pairs go without a look at the sets. Of a set's meetings one is verified at first; those that it doesn't connect come after.
+
+Where a signature of three members or more then still holds several components (sets that agree in one cell only), the members outside
+its largest component are compared with those of other components, by sizes and sketches first. Signatures of more than MANY members
+are not compared as a whole: their members meet at their rarest elements, for sets of n elements with an index of 0.85 share one of the
+first n - ceil(0.85 n) + 1 in any common order. Texts of that kind which agree in such elements, too, but are not alike, cost the square of
+their number in comparisons of sketches (not in rows).
 
 Equal sets are one node throughout. Nodes go by 128 bits; the signatures carry 64 of them, and nodes that agree in these are
 verified against each other as well.
@@ -48,7 +52,10 @@ LINK = 85
 SHORT = 15
 #: Signatures that a task gathers before it hands them on, and those of a partition that they meet in.
 FLUSH, MEETING = 1 << 19, 1 << 20
+#: Bits of a sketch, and members of a signature that are compared with each other.
+PARITIES, MANY = 512, 2048
 
+_SKETCH = [f"odd{i}" for i in range(PARITIES // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,6 +126,12 @@ def node_of(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(low[:8], "big", signed=True), int.from_bytes(low[8:], "big", signed=True)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The sketch as signed longs."""
+    odd = np.bincount((mixed(own + _STEP) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
     column = batch.column("text")
     return (x.as_py() for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()))
@@ -126,11 +139,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
 
 def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(*node_of(s), len(s)) for s in map(shingle_set, _texts(batch))]
-        keys = np.array(found, np.int64).reshape(-1, 3)
+        found = [(*node_of(s), len(s), *parities(s)) for s in map(shingle_set, _texts(batch))]
+        values = np.array(found, np.int64).reshape(-1, 3 + len(_SKETCH))
         columns = [c for c in batch.schema.names if c != "text"]
-        rest = [pa.array(keys[:, i]) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *rest], names=[*columns, "key1", "key2", "n"])
+        rest = [pa.array(values[:, i]) for i in range(values.shape[1])]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *rest], names=[*columns, "key1", "key2", "n", *_SKETCH])
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +179,7 @@ def _lists(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *each], names=["place", "sigs", "names", "centres"])
 
 
-def _signed(places: int):
+def _signed(places: int, most: int):
     """Signatures by place, as one row of lists for each; meetings among a task's own documents as rows with centres."""
 
     def flush(sigs: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
@@ -194,7 +207,7 @@ def _signed(places: int):
                 sigs.append(found)
                 names.append(node_of(own)[0])
                 n += len(found)
-                if n >= FLUSH:
+                if n >= most:
                     yield flush(sigs, names)
                     sigs, names, n = [], [], 0
         if n:
@@ -228,8 +241,11 @@ def _node(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}key1").alias("key1"), F.col(f"{prefix}key2").alias("key2"))
 
 
-def _may_link(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= LINK * F.greatest(a, b)
+def _may_link(a: str, b: str) -> Column:
+    """Whether two rows (structs of n and a sketch) can have the index, by sizes and parities."""
+    n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _SKETCH), F.lit(0))
+    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & ((100 + LINK) * apart <= (100 - LINK) * (n[0] + n[1]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,6 +255,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.filter(100 * F.col("shared") >= LINK * (F.col("sum") - F.col("shared"))).select("a", "b"), "verified")
 
 
+def _sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, held of some nodes (doc_id, of_text), written; keyed: doc_id, of_text, text."""
+    same = (F.col("l.of_text") == F.col("r.of_text")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
+    texts = keyed.dropDuplicates(["of_text", "doc_id"]).alias("l").join(nodes.select("doc_id", "of_text").alias("r"), same, "left_semi").select("text")
+    sets = texts.mapInArrow(_held, "key1 long, key2 long, held array<bigint>")
+    return written(sets.select(_node().alias("node"), "held"), "sets")
+
+
+def _across(members: DataFrame, by: str) -> DataFrame:
+    """a, b: pairs of members (by, node, label, of) of one by whose labels differ and that may link, each pair once.
+
+    Members of the largest component of a by are not compared with each other.
+    """
+    kinds = members.groupBy(by, "label").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
+    members = written(members.join(kinds.select(by, F.col("most.label").alias("main")), by), "across")
+    x, y = members.filter("label != main").alias("x"), members.alias("y")
+    new = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & new & _may_link("x.of", "y.of"))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def _rarest(sets: DataFrame) -> DataFrame:
     """element, node: of each set of n the first n - ceil(0.85 n) + 1 elements, the rarest of these sets first."""
     each = sets.select("node", F.size("held").alias("n"), F.explode("held").alias("element"))
@@ -252,31 +289,26 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key1, key2, n for each row of docs, node and label for the nodes that have links). docs: doc_id, text."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), "text")
-    noded = written(keyed.mapInArrow(_noded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of_text long, key1 long, key2 long, n long"), "noded")
+    noded = written(keyed.mapInArrow(_noded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of_text long, key1 long, key2 long, n long, {', '.join(f'{x} long' for x in _SKETCH)}"), "noded")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("first")
-    nodes = noded.filter("n > 0").groupBy("key1", "key2").agg(F.max("n").alias("n"), first)
-    nodes = written(nodes.select("key1", _node().alias("node"), "n", "first.doc_id", "first.of_text"), "nodes")
+    nodes = noded.filter("n > 0").groupBy("key1", "key2").agg(F.first(F.struct("n", *_SKETCH)).alias("of"), first)
+    nodes = written(nodes.select("key1", _node().alias("node"), "of", "first.doc_id", "first.of_text"), "nodes")
 
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    total = nodes.agg(F.sum("of.n")).first()[0] or 0
     places = max(1, -(-total // MEETING)) * 4
-    packed = docs.select("text").mapInArrow(_signed(places), "place int, sigs array<bigint>, names array<bigint>, centres array<bigint>")
+    packed = docs.select("text").mapInArrow(_signed(places, FLUSH), "place int, sigs array<bigint>, names array<bigint>, centres array<bigint>")
     met = packed.repartition(places // 4, "place").mapInArrow(_meetings, "sig long, member long, centre long")
     met = written(met, "meetings")
 
-    # names to nodes, with sizes; nodes of one name meet, too
-    named = lambda x: nodes.select(F.col("key1").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"))
+    # names to nodes; nodes of one name meet, too
+    named = lambda x: nodes.select(F.col("key1").alias(x), F.col("node").alias(f"{x}_node"), F.col("of").alias(f"{x}_of"))
     pairs = met.groupBy("member", "centre").agg(F.count("*").alias("meetings"))
-    pairs = pairs.join(named("member"), "member").join(named("centre"), "centre").filter(_may_link(F.col("member_n"), F.col("centre_n")))
+    pairs = pairs.join(named("member"), "member").join(named("centre"), "centre").filter(_may_link("member_of", "centre_of"))
     pairs = pairs.select(F.col("member_node").alias("a"), F.col("centre_node").alias("b"), "meetings")
     namesakes = nodes.groupBy("key1").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a != b")
     pairs = written(pairs.union(namesakes.select("a", "b", F.lit(0).cast("long"))), "pairs")
-
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = asked.join(nodes, "node").select("doc_id", "of_text")
-    same = (F.col("l.of_text") == F.col("r.of_text")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    texts = keyed.dropDuplicates(["of_text", "doc_id"]).alias("l").join(asked.alias("r"), same, "left_semi").select("text")
-    sets = texts.mapInArrow(_held, "key1 long, key2 long, held array<bigint>")
-    sets = written(sets.select(_node().alias("node"), "held"), "sets")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(keyed, nodes.join(ends(pairs), "node", "left_semi"))
 
     # a set's likeliest meeting first, then those that it doesn't connect
     likeliest = pairs.groupBy("a").agg(F.max(F.struct("meetings", "b")).alias("best")).select("a", "best.b")
@@ -289,26 +321,22 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = written(links.union(verified(more, sets)), "links")
         labels = simhash.components(links)
 
-    # signatures that still hold several components: all meetings count, for members may link with others than the centre
-    at = lambda x: nodes.join(labels, "node", "left").select(F.col("key1").alias(x), F.coalesce("label", "node").alias(f"{x}_label"))
-    several = met.join(at("member"), "member").join(at("centre"), "centre").filter("member_label != centre_label").select("sig").distinct()
-    several = written(several, "several")
-    left = met.join(several, "sig")
-    left = left.select(F.col("member").alias("key1")).union(left.select("centre")).distinct()
-    left = written(left.join(nodes, "key1").select("node", "doc_id", "of_text", "n"), "left")
-    if left.isEmpty():
+    # signatures of three members or more that may still hold several components
+    members = met.select("sig", F.col("member").alias("key1")).union(met.select("sig", "centre")).distinct()
+    sizes = members.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 2")
+    members = members.join(sizes, "sig").join(nodes, "key1").join(labels, "node", "left")
+    members = written(members.select("sig", "members", "node", F.coalesce("label", "node").alias("label"), "of"), "members")
+    found = _across(members.filter(F.col("members") <= MANY), "sig")
+    many = members.filter(F.col("members") > MANY).select("node", "label", "of").dropDuplicates(["node"])
+    many = written(many, "many")
+    if not many.isEmpty():
+        known = sets.join(many, "node", "left_semi").union(_sets(keyed, nodes.join(many, "node", "left_semi").join(sets, "node", "left_anti")))
+        found = found.union(_across(_rarest(known).join(many, "node"), "element")).distinct()
+    found = written(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "found")
+    if found.isEmpty():
         return noded, labels
-    known = sets.join(left, "node", "left_semi")
-    unknown = left.join(sets, "node", "left_anti").select("doc_id", "of_text")
-    texts = keyed.dropDuplicates(["of_text", "doc_id"]).alias("l").join(unknown.alias("r"), same, "left_semi").select("text")
-    known = written(known.union(texts.mapInArrow(_held, "key1 long, key2 long, held array<bigint>").select(_node().alias("node"), "held")), "left-sets")
-    rare = _rarest(known).join(left.select("node", "n"), "node").join(labels, "node", "left")
-    rare = written(rare.select("element", "node", "n", F.coalesce("label", "node").alias("label")), "rare")
-    kinds = rare.groupBy("element", "label").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
-    rare = written(rare.join(kinds.select("element", F.col("most.label").alias("main")), "element"), "rare-met")
-    x, y = rare.filter("label != main").alias("x"), rare.alias("y")
-    met = x.join(y, "element").filter((F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _may_link(F.col("x.n"), F.col("y.n")))
-    last = verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), known)
+    sets = sets.union(_sets(keyed, nodes.join(ends(found), "node", "left_semi").join(sets, "node", "left_anti")))
+    last = verified(found, sets)
     return noded, labels if last.isEmpty() else simhash.components(links.union(last))
 
 

@@ -90,6 +90,7 @@ def test_components_equal_all_pairs(spark):
 def test_join_of_documents_and_odd_rows(spark, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, FOLDER, "documents").collect()]
     monkeypatch.setattr(jaccard_join, "FLUSH", 300)  # tasks hand on in many pieces
+    monkeypatch.setattr(jaccard_join, "MANY", 3)
     assert result(queries.op11_jaccard_join(spark, FOLDER)) == joined(rows)
     assert result(jaccard_join.join_components(odd(spark, "key1 string"))) == joined([r[:2] for r in ODD])
     assert jaccard_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -208,3 +209,11 @@ def test_hash_of_a_deletion_is_the_hash_of_the_shorter_word():
         without, wild, _ = spelling.hashed(word, base)
         assert without == [spelling.hashed(word[:i] + word[i + 1 :], base)[2] for i in range(len(word))]
         assert wild == [spelling.hashed(word[:i] + "\x01" + word[i + 1 :], base)[2] for i in range(len(word))]
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(6)
+    for n in (1, 40, 900):
+        a, b = (np.unique(rng.integers(0, 3 * n + 2, n).astype(np.uint64)) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (jaccard_join.parities(a) ^ jaccard_join.parities(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
