@@ -241,11 +241,15 @@ def _node(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}key1").alias("key1"), F.col(f"{prefix}key2").alias("key2"))
 
 
+def _apart(a: str, b: str) -> Column:
+    """The bits in which the sketches of two rows' structs differ."""
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _SKETCH), F.lit(0))
+
+
 def _may_link(a: str, b: str) -> Column:
     """Whether two rows (structs of n and a sketch) can have the index, by sizes and parities."""
     n = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _SKETCH), F.lit(0))
-    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & ((100 + LINK) * apart <= (100 - LINK) * (n[0] + n[1]))
+    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & ((100 + LINK) * _apart(a, b) <= (100 - LINK) * (n[0] + n[1]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,16 +268,16 @@ def _sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, by: str) -> DataFrame:
-    """a, b: pairs of members (by, node, label, of) of one by whose labels differ and that may link, each pair once.
+    """a, b, apart: pairs of members (by, node, label, of) of one by whose labels differ and that may link. apart: of their sketches.
 
-    Members of the largest component of a by are not compared with each other.
+    Members of the largest component of a by are not compared with each other; a is never one of them.
     """
     kinds = members.groupBy(by, "label").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
     members = written(members.join(kinds.select(by, F.col("most.label").alias("main")), by), "across")
     x, y = members.filter("label != main").alias("x"), members.alias("y")
     new = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & new & _may_link("x.of", "y.of"))
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _apart("x.of", "y.of").alias("apart")).distinct()
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
@@ -332,12 +336,18 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not many.isEmpty():
         known = sets.join(many, "node", "left_semi").union(_sets(keyed, nodes.join(many, "node", "left_semi").join(sets, "node", "left_anti")))
         found = found.union(_across(_rarest(known).join(many, "node"), "element")).distinct()
-    found = written(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "found")
+    known = pairs.select("a", "b").union(pairs.select("b", "a"))
+    found = written(found.join(known, ["a", "b"], "left_anti"), "found")
     if found.isEmpty():
         return noded, labels
     sets = sets.union(_sets(keyed, nodes.join(ends(found), "node", "left_semi").join(sets, "node", "left_anti")))
-    last = verified(found, sets)
-    return noded, labels if last.isEmpty() else simhash.components(links.union(last))
+
+    # the closest sketch first, then those that it doesn't connect
+    closest = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+    links = written(links.union(verified(closest, sets)), "links")
+    labels = simhash.components(links)
+    more = written(apart(found.select("a", "b").join(closest, ["a", "b"], "left_anti")), "more")
+    return noded, labels if more.isEmpty() else simhash.components(links.union(verified(more, sets)))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
