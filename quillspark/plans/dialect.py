@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import LATIN_STOP_WORDS, TOKEN
+from quillspark.operators import units as U
 
 
 def squeezed(c: str) -> str:
@@ -50,3 +51,18 @@ def picked(pieces: list[list[str]], key: str, sql: bool):
             out.append(F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(F.col(key) / divisor) % n + 1).cast("int")))
         divisor *= n
     return " || ".join(out) if sql else F.concat(*out)
+
+
+def re2(pattern: str) -> str:
+    """A pattern of the engine as a literal: RE2 names scripts otherwise and knows no (?U)."""
+    return "'" + pattern.replace("(?U)", "").replace(r"\p{Is", r"\p{").replace("'", "''") + "'"
+
+
+def value_cell(c: str) -> str:
+    """Whether a table cell is a value."""
+    value = f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+    tight = f"regexp_replace({value}, '\\s+', '', 'g')"
+    words = ", ".join(f"'{w}'" for w in U.MATH_WORDS)
+    prose = f"list_filter(regexp_extract_all({value}, '\\p{{L}}+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\\p{{Lu}}+$') AND lower(w) NOT IN ({words}))"
+    forms = [f"{value} = ''", f"NOT regexp_matches({value}, '\\p{{L}}')", *[f"regexp_matches({tight}, {re2(p)})" for p in U.NUMBER_CELLS], *[f"regexp_matches({value}, {re2(p)})" for p in (U.MEASURE_CELL, U.SYMBOL_CELL)]]
+    return f"({' OR '.join(forms)} OR (regexp_matches({value}, {re2(U.MATH_SIGN)}) AND len({prose}) = 0))"

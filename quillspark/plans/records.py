@@ -60,11 +60,16 @@ def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PENDING_SQL = "SELECT l_orderkey AS doc, arg_min(l_linenumber, (l_linenumber < 3, l_linenumber)) AS page, count(*) AS pending FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_orderkey"
 
 
+#: Parts of cells; a key's digits pick one of each.
+CELL_PARTS = [["12.5%", "3 ± 1", "7 km/h", "x", "α", "β_1", "x₂", "θ^2", "Total", "a = b", "—", "SOTA", "log x", "mean of x", ""], ["", " ", " + 1", "_i", " = 3", " e-3", "²"]]
+
+
 def value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.read(spark, sf_dir, "part")
-    forms = ["12.5%", "3 ± 1", "7 km/h", "x", "Total", "a = b + 1", "—", "SOTA", "log x", "mean of x = 3"]
-    cell = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int"))
-    return p.select("p_partkey", U.value_cell(cell).alias("is_value"))
+    return p.select("p_partkey", U.value_cell(D.picked(CELL_PARTS, "p_partkey", False)).alias("is_value"))
+
+
+VALUE_SQL = f"SELECT p_partkey, {D.value_cell('cell')} AS is_value FROM (SELECT p_partkey, {D.picked(CELL_PARTS, 'p_partkey', True)} AS cell FROM part)"
 
 
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +114,7 @@ QUERIES = {
     "venue_records": (venue_records, VENUE_SQL),
     "reading_progress": (reading_progress, "SELECT l_orderkey, round(count(*) FILTER (l_linestatus = 'F')::DOUBLE / count(*), 6) AS progress FROM lineitem GROUP BY l_orderkey"),
     "pending_pages": (pending_pages, PENDING_SQL),
-    "value_cells": (value_cells, "SELECT p_partkey, p_partkey % 10 NOT IN (3, 4, 7, 8, 9) AS is_value FROM part"),
+    "value_cells": (value_cells, VALUE_SQL),
     "reference_lines": (reference_lines, REFERENCE_SQL),
     "protected_units": (protected_units, "SELECT p_partkey, p_partkey % 5 IN (0, 1) AS intact, CASE WHEN p_partkey % 5 = 3 THEN 1 ELSE 2 END AS tokens FROM part"),
     "untranslated_pairs": (untranslated_pairs, None),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import advice, analytics, chats, collections, exports, flows, quality, reader, records, search, texts, upkeep
+from quillspark.plans import advice, analytics, chats, collections, exports, flows, pages, quality, reader, records, search, texts, upkeep
 
-FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader, upkeep, exports, advice]
+FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader, upkeep, exports, advice, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
