@@ -54,8 +54,14 @@ def picked(pieces: list[list[str]], key: str, sql: bool):
 
 
 def re2(pattern: str) -> str:
-    """A pattern of the engine as a literal: RE2 names scripts otherwise and knows no (?U)."""
-    return "'" + pattern.replace("(?U)", "").replace(r"\p{Is", r"\p{").replace("'", "''") + "'"
+    """A pattern of the engine as a literal: RE2 names scripts otherwise, knows no (?U) and looks around at the edges of words only."""
+    for ours, theirs in (("(?U)", ""), (r"\p{Is", r"\p{"), ("(?![A-Za-z0-9_])", r"\b"), ("(?<![A-Za-z0-9_])", r"\b"), ("'", "''")):
+        pattern = pattern.replace(ours, theirs)
+    return f"'{pattern}'"
+
+
+def times(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, {re2(pattern)}))"
 
 
 def value_cell(c: str) -> str:

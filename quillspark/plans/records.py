@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import gate as G
+from quillspark.operators import math_spans as M
 from quillspark.operators import records as R
 from quillspark.operators import units as U
 from quillspark.plans import dialect as D
@@ -103,10 +104,10 @@ def markdown_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     formula = F.concat(F.lit("$$x_"), "p_partkey", F.lit("$$\n(3)\nrest"))
     algorithm = F.concat(F.lit("1: Input x 2: for all 3: return "), "p_name")
     table = F.concat(F.lit("a\n| x | y |\n|--|--|\n| 1 | "), "p_partkey", F.lit(" |\nb"))
-    return p.select("p_partkey", U.merged_equation_numbers(formula).alias("formula"), U.compact_algorithm(algorithm).alias("compact"), U.one_step_a_line(algorithm).alias("steps"), U.without_tables(table).alias("without_tables"), U.latex_heavy(formula).alias("heavy"))
+    return p.select("p_partkey", M.merged_equation_numbers(formula).alias("formula"), M.compact_algorithm(algorithm).alias("compact"), U.one_step_a_line(algorithm).alias("steps"), U.without_tables(table).alias("without_tables"), M.latex_heavy(formula).alias("heavy"))
 
 
-REPAIRS_SQL = "SELECT p_partkey, '$$x_' || p_partkey || ' \\tag{3}$$' || chr(10) || 'rest' AS formula, true AS compact, '1: Input x' || chr(10) || '2: for all' || chr(10) || '3: return ' || p_name AS steps, 'a' || chr(10) || '@@TABLE@@' || chr(10) || 'b' AS without_tables, false AS heavy FROM part"
+REPAIRS_SQL = "SELECT p_partkey, '$$x_' || p_partkey || chr(10) || '\\tag{3}' || chr(10) || '$$' || chr(10) || 'rest' AS formula, true AS compact, '1: Input x' || chr(10) || '2: for all' || chr(10) || '3: return ' || p_name AS steps, 'a' || chr(10) || '@@TABLE@@' || chr(10) || 'b' AS without_tables, false AS heavy FROM part"
 
 QUERIES = {
     "library_entries": (library_entries, LIBRARY_SQL),
