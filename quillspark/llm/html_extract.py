@@ -2,13 +2,16 @@
 
 A page is a sequence of words and tags. A tag has a negative score; a word has a score by where it stands: a little, and the
 log odds for and against the article of the strongest of the open elements' names and marks (words of class, id and role).
-A linear scan finds the run with the greatest sum, which is the content region. A second scan, over the negated scores of the
-region's words, finds the boilerplate inside it (a menu, an advert, comments); a word of the article outweighs any such
-run, so those runs are the blocks that score negative, and they go.
+A linear scan finds the run with the greatest sum, which is the content region. Blocks of it that score negative (a menu, an
+advert, comments) go. Where an element around such a block speaks for the article, the block and its tags cost at most BOX, however
+long it is, so that a box inside an article does not part its two sides; elsewhere a block costs at most LOOSE. What follows an article that fills most of the region, and
+stands outside of it, goes too. Inline elements whose marks speak against the article are blocks of their own, except in code. A header
+inside an article element is the article's, and its name says nothing.
 
-Weights come from labelled pages of two kinds: the ones below, whose articles stand between marks, and all pages of the
-table that label themselves, with one article element (or else one main element): of those, names and marks that the first do not have
-are counted, by the words that stand inside and outside. At most MARKS of them, the commonest, are kept.
+Weights come from labelled pages of two kinds: the ones below, whose articles stand between marks, and pages of the table that
+label themselves, with one article element (or else one main element). Of those, at most about LEARN_PAGES pages are read, by a
+hash of the page; names and marks are counted by the words that stand inside and outside, and the odds of the pages below count as PRIOR
+words. At most MARKS of them, the commonest, are kept.
 
 Pages are read by a scanner that goes over each character a bounded number of times, whatever the page holds.
 
@@ -25,7 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from math import log
+from math import exp, log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,15 +36,18 @@ from pyspark.sql import functions as F
 
 #: Names and marks learned from the table, and the words and pages that one needs to count.
 MARKS, MARK_WORDS, MARK_PAGES = 10_000, 200, 5
+#: Pages that weights are learned from (about, where the table has more), and the words that the built-in odds of a name count as.
+LEARN_PAGES, PRIOR = 20_000, 2_000
 
 # Elements that do not end a block; that have no end tag; whose content is no markup; that are not read; that say
-# where a word stands; that end a paragraph; and which of equal names end one another.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+# where a word stands; that end a paragraph; whose names' weights are learned (others are of all layouts alike); and which of equal names end one another.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNREAD = frozenset("svg canvas object select button template noscript audio video applet datalist".split())
-PLACES = frozenset("article main section div nav header footer aside form ul ol li table td th dl dd dt figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p details dialog menu address fieldset body head".split())
+UNREAD = frozenset("svg canvas object select button template noscript audio video applet datalist label".split())
+PLACES = frozenset("article main section div nav header footer aside form ul ol li table td th dl dd dt figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 p details dialog menu address fieldset body".split())
 BLOCKS = frozenset("article main section div nav header footer aside form ul ol table dl figure blockquote pre h1 h2 h3 h4 h5 h6 p hr address fieldset".split())
+LANDMARKS = frozenset("main section nav header footer aside form dialog menu address".split())
 CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl select body article main section".split())
 
@@ -136,12 +142,12 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])", re.I)
 
 
-def blocks(page: str, weights: dict[str, float], without: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, float, float, tuple[str, ...]]]:
-    """("block", its text, the score of each of its words, the score of the tags before it, names and marks around it).
+def blocks(page: str, weights: dict[str, float], without: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, float, float, tuple[str, ...], bool]]:
+    """("block", its text, the score of each of its words, the score of the tags before it, names and marks around it, whether one speaks for the article).
 
     Names and marks are those of the innermost MOST elements only; scores are those of all. without: names that count for nothing.
     """
-    stack: list[tuple[str, float, float, bool, tuple[str, ...]]] = []  # name, strongest for, strongest against, unread, its own names
+    stack: list[tuple[str, float, float, bool, tuple[str, ...], bool]] = []  # name, strongest for, strongest against, unread, its own names, held
     opened, parts, cost = Counter(), [], 0.0
 
     def state() -> tuple[float, float, bool]:
@@ -161,7 +167,7 @@ def blocks(page: str, weights: dict[str, float], without: frozenset[str] = froze
         if text:
             best, worst, _ = state()
             around = tuple(x for entry in stack[-MOST:] for x in entry[4])
-            yield "block", text, PLAIN_WORD + FOR * best + AGAINST * worst, cost, around
+            yield "block", text, PLAIN_WORD + FOR * best + AGAINST * worst, cost, around, bool(stack) and stack[-1][5]
             cost = 0.0
 
     for kind, value, attributes in scanned(page):
@@ -169,7 +175,11 @@ def blocks(page: str, weights: dict[str, float], without: frozenset[str] = froze
             if not state()[2]:
                 parts.append(value)
             continue
-        if value not in INLINE:
+        own, inline = (), value in INLINE
+        if kind == "open" and inline and attributes and not (opened["pre"] or opened["code"]):
+            own = tuple(x for x in marks(attributes) if x not in without)
+            inline = not any(weight_of(x, weights) <= STRONG for x in own)
+        if not inline or opened[value]:
             yield from block()
         cost += tag_scores().get(value, OTHER_TAG)
         if kind == "close":
@@ -185,18 +195,23 @@ def blocks(page: str, weights: dict[str, float], without: frozenset[str] = froze
                 if opened[inner] and next((n for n, *_ in reversed(stack[-8:]) if n in SCOPES or n == inner), "") == inner:
                     close(inner)
             hidden = bool(_HIDDEN.search(attributes)) if attributes else False
-            if value in VOID or value in RAW or attributes.endswith("/") or not (value in PLACES or value in UNREAD or hidden):
+            if value in VOID or value in RAW or attributes.endswith("/") or not (value in PLACES or value in UNREAD or value == "code" or hidden or not inline or opened[value]):
                 continue
-            own = tuple(x for x in (value, *marks(attributes)) if x not in without) if attributes else tuple(x for x in (value,) if x not in without)
+            if value in PLACES or value in UNREAD or hidden:
+                own = tuple(x for x in (value, *marks(attributes)) if x not in without) if attributes else tuple(x for x in (value,) if x not in without)
+                if value == "header" and opened["article"]:
+                    own = tuple(x for x in own if x not in ("header", ".header"))
             best, worst, unread = state()
             scores = [weight_of(x, weights) for x in own]
-            stack.append((value, max([best, *scores]), min([worst, *(x for x in scores if x <= STRONG)]), unread or hidden or value in UNREAD, own))
+            stack.append((value, max([best, *scores]), min([worst, *(x for x in scores if x <= STRONG)]), unread or hidden or value in UNREAD, own, bool(stack) and stack[-1][5] or value in HOLDERS and max(scores, default=0.0) >= HOLDS))
             opened[value] += 1
     yield from block()
 
 
 #: Score of a word that stands nowhere in particular and of a tag that no labelled page has; elements around a block that are named.
 PLAIN_WORD, OTHER_TAG, MOST = 0.5, -0.05, 24
+#: The weight from which an element holds the article, which elements can, and what a block against it costs at most inside of one and elsewhere.
+HOLDS, HOLDERS, BOX, LOOSE = 0.7, frozenset("article main section div".split()), 0.25, 12.0
 #: How much the strongest weights for and against count; weights above STRONG do not speak against.
 FOR, AGAINST, STRONG = 0.5, 1.5, -1.0
 #: Letters of a mark that others may begin with (comment: commentlist), and marks that others may end with (nav: leftnav).
@@ -253,17 +268,26 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
         found = list(blocks(page or "", known, without))
         # the greatest sum over words and tags
         best, begin, stop, total, since = 0.0, 0, 0, 0.0, 0
-        for i, (_, text, score, cost, _) in enumerate(found):
+        for i, (_, text, score, cost, _, held) in enumerate(found):
+            value = score * (text.count(" ") + 1)
+            if held:
+                cost = max(cost, -BOX)
+                value = max(value, -BOX - cost)
+            value = max(value, -LOOSE)
             if total + cost <= 0:
                 total, since = 0.0, i
             else:
                 total += cost
-            total += score * (text.count(" ") + 1)
+            total += value
             if total > best:
                 best, begin, stop = total, since, i + 1
         if best or not found:
             break  # else all of the page may stand in a form
-    return " ".join(text for _, text, score, _, _ in found[begin:stop] if score > 0)
+    region = [(text, text.count(" ") + 1, held) for _, text, score, _, _, held in found[begin:stop] if score > 0]
+    if 2 * sum(n for _, n, held in region if held) > sum(n for _, n, _ in region):
+        while not region[-1][2]:
+            region.pop()
+    return " ".join(text for text, _, _ in region)
 
 
 # ---- learning from pages that label themselves ------------------------------------------------------------------------
@@ -275,25 +299,20 @@ def _label(page: str) -> str:
     return next((x for x in ("article", "main") if len(re.findall(rf"<{x}[\s>]", low)) == 1), "")
 
 
-def _has_unknown(page: str, known: dict[str, float]) -> bool:
-    """Whether some element's name or mark may have no weight yet; other pages have nothing to count."""
-    if any(x.lower() in PLACES and x.lower() not in known for x in set(re.findall(r"<([a-zA-Z][a-zA-Z0-9]*)", page))):
-        return True
-    return any("." + x.lower() not in known for found in set(_MARK.findall(page)) for value in found for x in _NAMED.findall(value))
-
-
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, tally = built_in()[0], {}
     for rows in batches:
         for page in rows["html"]:
-            if not page or not _has_unknown(page, known) or not (holder := _label(page)):
+            if not page or not (holder := _label(page)):
                 continue
             seen = set()
-            for _, text, score, _, around in blocks(page, known):
+            for _, text, score, _, around, _ in blocks(page, known):
                 n = text.count(" ") + 1
                 # what is boilerplate by its other names says nothing of those that stand in the article's element
                 within = holder in around and score > 0
-                for x in {y for y in around if y not in known}:
+                if not within and holder in around:
+                    around = around[around.index(holder) + 1 :]
+                for x in {y for y in around if y[0] == "." or y in LANDMARKS} - {holder}:
                     row = tally.setdefault(x, [0, 0, 0])
                     row[0 if within else 1] += n
                     row[2] += x not in seen
@@ -309,12 +328,21 @@ def _rows(tally: dict[str, list[int]]) -> pd.DataFrame:
 
 
 def learned(pages: DataFrame) -> dict[str, float]:
-    """Log odds of names and marks that the labelled pages of this module do not have, from those pages (html) that label themselves."""
-    counts = pages.select("html").mapInPandas(_counted, "mark string, inside long, outside long, pages long")
+    """Log odds of names and marks from those pages (html) that label themselves, with the odds of this module's pages as a prior."""
+    read, share = pages.select("html"), pages.count() // LEARN_PAGES
+    if share > 1:
+        read = read.filter(F.pmod(F.xxhash64("html"), F.lit(share)) == 0)
+    counts = read.mapInPandas(_counted, "mark string, inside long, outside long, pages long")
     counts = counts.groupBy("mark").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"), F.sum("pages").alias("pages"))
     words = F.col("inside") + F.col("outside")
     chosen = counts.filter((words >= MARK_WORDS) & (F.col("pages") >= MARK_PAGES)).orderBy(words.desc(), "mark").limit(MARKS)
-    return {r["mark"]: _odds(r["inside"], r["outside"]) for r in chosen.collect()}
+    found = {}
+    for r in chosen.collect():
+        known = built_in()[0].get(r["mark"])
+        share = 0.0 if known is None else 1 / (1 + exp(-known))
+        prior = 0 if known is None else PRIOR
+        found[r["mark"]] = _odds(r["inside"] + prior * share, r["outside"] + prior * (1 - share))
+    return found
 
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

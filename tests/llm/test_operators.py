@@ -199,6 +199,43 @@ def test_held_out_pages():
         assert 2 * both / (len(got.split()) + len(want.split())) > 0.97, (got, want)
 
 
+def sentences(*numbers):
+    return "".join(f"<p>part{i} and the river was high and the boats lay along the bank until the sun rose again</p>" for i in numbers)
+
+
+#: Pages and the words of theirs that have to come out; "bad" words must not.
+PROBES = [
+    (f'<nav>bad menu</nav><article><h1>Title</h1>{sentences(1, 2, 3)}<div class="ad">{"bad offer " * 15}</div>{sentences(4, 5, 6)}</article><footer>bad</footer>', "Title part1 part2 part3 part4 part5 part6"),
+    (f'<article><h1>Title</h1>{sentences(1, 2, 3)}<aside class="related"><ul>{"<li>bad story here</li>" * 14}</ul></aside>{sentences(4, 5, 6, 7, 8)}</article>', "Title part1 part2 part3 part4 part5 part6 part7 part8"),
+    (f'<article>{sentences(1)}<div class="user-feedback">Was it bad yes no</div><p>Cheers</p></article>', "part1 Cheers"),
+    (f'<div class="post-body">{sentences(1)}<div id="disqus_thread">bad words of a reader</div><div class="signup">bad letter</div><p>Cheers</p></div>', "part1 Cheers"),
+    (f'<header>bad site</header><article><header class="entry-header"><h1>Title</h1></header>{sentences(1)}</article>', "Title part1"),
+    ("<article><p>one <span class='ad'>bad <span>bad</span> bad</span> two <a class='advert' href=x>bad</a> three <span class='x'>four</span></p><pre><span class='comment'># code</span></pre></article>", "one two three four code"),
+    (f"<article><h1>Title</h1>{sentences(1, 2)}</article><div><h3>2 bad responses</h3><p>I do not agree with the bad text</p></div>", "Title part1 part2"),
+    (f"<article>{sentences(1)}<label>bad field</label>{sentences(2)}</article>", "part1 part2"),
+    (f'<div><ul><li><a>Home</a></li></ul></div><div><h1>Title</h1>{sentences(1, 2)}<div class="ad">{"bad offer " * 6}</div>{sentences(3, 4)}</div>', "Title part1 part2 part3 part4"),
+]
+
+
+def test_boxes_inside_articles_and_around_them():
+    for page, want in PROBES:
+        got = html_extract.extract(f"<html><head><title>bad</title></head><body>{page}</body></html>").split()
+        assert "bad" not in got and set(want.split()) <= set(got), (page, got)
+
+
+def test_learned_weights_on_pages_that_hide_their_labels(spark):
+    from collections import Counter
+
+    rows = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "html").collect()
+    known = html_extract.learned(spark.createDataFrame([r for r in rows if r["page_id"] % 2], "page_id long, html string"))
+    assert known["nav"] < -1 and not {"div", "li", "p"} & set(known)
+    for r in rows:
+        if not r["page_id"] % 2:
+            want = Counter(html_extract.extract(r["html"]).split())
+            got = Counter(html_extract.extract(r["html"].replace("<article", "<div").replace("</article", "</div"), html_extract.built_in()[0] | known).split())
+            assert 2 * sum((got & want).values()) > 0.97 * (sum(got.values()) + sum(want.values()))
+
+
 def test_hostile_pages():
     import time
 
