@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,31 +12,19 @@ from quillspark.sources import sinks, tables
 from quillspark.streaming import streams as S
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A folder of its own where the driver and all executors write: spark.checkpoint.dir, or a local one in a local session."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.finished(S.daily_counts(S.replay(spark, sf_dir, "events")), _place(spark, "activity"), "complete")
+    return S.finished(S.daily_counts(S.replay(spark, sf_dir, "events")), tables.place(spark, "activity"), "complete")
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.finished(S.first_records(S.replay(spark, sf_dir, "events"), ["user_id", "event_type"], "400 days"), _place(spark, "dedupe"))
+    return S.finished(S.first_records(S.replay(spark, sf_dir, "events"), ["user_id", "event_type"], "400 days"), tables.place(spark, "dedupe"))
 
 
 def stream_inactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.replay(spark, sf_dir, "events")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("bump", "output", "hold", "bump", "output")]), (F.col("event_id") % 5 + 1).cast("int"))
     rows = events.select(F.col("user_id").alias("request"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), kind.alias("event"))
-    return S.finished(S.inactive_requests(rows), _place(spark, "inactivity"))
+    return S.finished(S.inactive_requests(rows), tables.place(spark, "inactivity"))
 
 
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +33,7 @@ def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.to_json(F.struct(F.concat(F.lit("n"), F.col("turn") - F.col("turn") % 2).alias("id"), F.coalesce("text", F.lit("")).alias("text"))), F.lit("\n"))
     cut = F.floor(F.char_length(line) / F.lit(2)).cast("int")
     chunks = t.select("conv_id", "turn", F.posexplode(F.array(F.left(line, cut), F.substring(line, cut + 1, F.lit(1 << 30)))).alias("half", "value"))
-    return S.finished(S.assembled_records(chunks.select(F.col("conv_id").alias("request"), (F.col("turn") * 2 + F.col("half")).alias("seq"), "value")), _place(spark, "records"))
+    return S.finished(S.assembled_records(chunks.select(F.col("conv_id").alias("request"), (F.col("turn") * 2 + F.col("half")).alias("seq"), "value")), tables.place(spark, "records"))
 
 
 def translation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
