@@ -111,10 +111,11 @@ def _units_of(block: Column, nodes: Column) -> Column:
 
 def units(pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, place, id, text, tokens, slots of normalized pages (page_ir.normalized); keys name a page."""
-    blocks = pages.select(*keys, "nodes", F.explode(F.filter("nodes", lambda n: n["level"] == "block")).alias("block"))
+    # a row for each block with its own nodes: a page's nodes are never copied for each of its blocks
+    placed = pages.select(*keys, F.posexplode("nodes").alias("_i", "_n")).groupBy(*keys, F.col("_n.block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "_n"))).alias("_own"))
+    blocks = placed.select(*keys, F.transform("_own", lambda x: x["_n"]).alias("nodes")).select(*keys, "nodes", F.explode(F.filter("nodes", lambda n: n["level"] == "block")).alias("block"))
     hidden = F.coalesce(F.col("block.frozen"), F.lit(False)) | F.coalesce(F.lower(F.coalesce("block.role", "block.content_role")) == "author", F.lit(False)) | F.coalesce(author_line(F.col("block.text")), F.lit(False))
-    own = F.filter("nodes", lambda n: n["block"] == F.col("block.block"))
-    each = blocks.filter(~hidden).select(*keys, F.col("block.block").alias("_block"), F.posexplode(T.bound(own, lambda nodes: _units_of(F.col("block"), nodes))).alias("_at", "_unit"))
+    each = blocks.filter(~hidden).select(*keys, F.col("block.block").alias("_block"), F.posexplode(_units_of(F.col("block"), F.col("nodes"))).alias("_at", "_unit"))
     each = each.filter(T.trimmed(F.col("_unit.text")) != "").select(*keys, "_block", "_at", "_unit", worth_translating(F.col("_unit.text")).alias("_kept"), T.trimmed(F.col("_unit.text")).rlike(CITATION).alias("_cited"))
 
     page = Window.partitionBy(*keys).orderBy("_block", "_at")
