@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import markup as K
 from quillspark.operators import math_spans as M
 
 # A step's mark with what is before it and its number; words that open and close blocks; the greatest depth and blanks for each.
@@ -244,10 +245,10 @@ def _outside(text: Column) -> Column:
 
 
 def _fence(text: Column) -> Column:
-    """A fence for steps, or one without a name whose content is steps, is written anew; lists of references lose theirs."""
+    """A fence for steps, or one without a name whose content is steps, is written anew; lists of references lose theirs and become paragraphs."""
     pattern = r"(?is)^```([a-z]*)[ \t]*\n(.*?)```$"
     named, body = F.regexp_extract(text, pattern, 1) != "", F.regexp_extract(text, pattern, 2)
-    return F.when(M.reference_list(body), T.trimmed(body)).when(~M.latex_heavy(body) & (named | M.compact_algorithm(body)), fenced(body)).otherwise(text)
+    return F.when(M.reference_list(body), K.reference_paragraphs(T.trimmed(body))).when(~M.latex_heavy(body) & (named | M.compact_algorithm(body)), fenced(body)).otherwise(text)
 
 
 def formatted(rows: DataFrame, text: str) -> DataFrame:

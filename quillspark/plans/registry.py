@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import advice, algorithms, analytics, answers, chats, collections, exports, flows, formulas, pages, quality, reader, records, search, texts, upkeep
+from quillspark.plans import advice, algorithms, analytics, answers, chats, collections, exports, flows, formulas, markup, pages, quality, reader, records, search, texts, upkeep
 
-FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader, upkeep, exports, advice, pages, formulas, algorithms, answers]
+FAMILIES = [search, analytics, texts, collections, chats, quality, flows, records, reader, upkeep, exports, advice, pages, formulas, algorithms, answers, markup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

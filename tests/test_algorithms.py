@@ -52,7 +52,7 @@ MARKDOWN = {
     "plain text\n\n\nwith nothing": "plain text\n\n\nwith nothing",
     "intro\n\n```\n1: Begin 2: If x 3: End If\n```\nnext": "intro\n\n```algorithm\n1: Begin\n2:   If x\n3:   End If\n```\nnext",
     "```python\n1: Begin 2: If x 3: End\n```": "```python\n1: Begin 2: If x 3: End\n```",
-    "```algorithm\n695: [16] Wang, Y. 107: [17] Li, B.\n```": "695: [16] Wang, Y. 107: [17] Li, B.",
+    "```algorithm\n695: [16] Wang, Y.\n107: [17] Li, B.\n```": "[16] Wang, Y.\n\n[17] Li, B.",
     "We keep $x_{0:i-1}$ here 1: Begin 2: If x = {a,b} 3: do it 4: End": "We keep $x_{0:i-1}$ here\n\n```algorithm\n1: Begin\n2:   If x = {a,b}\n3:     do it\n4:   End\n```",
     "In 2023. 0.05 and 1.5 and 2.5 are numbers, while 3.5 is not": "In 2023. 0.05 and 1.5 and 2.5 are numbers, while 3.5 is not",
     r"0: \frac{a}{b} 1: \frac{c}{d} 2: \alpha 3: while": r"0: \frac{a}{b} 1: \frac{c}{d} 2: \alpha 3: while",
