@@ -19,9 +19,13 @@ FIRST_MS, IDLE_MS, HOLD_MS, HEARTBEAT_MS = 90_000, 45_000, 450_000, 15_000
 
 
 def replay(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", False).parquet(folder)
+    """A table's files as a stream; a table is one file or a folder of files."""
+    path = f"{folder}/{table}.parquet"
+    found = spark.read.parquet(path)
+    stream = spark.readStream.schema(found.schema)
+    if any(f"/{table}.parquet/" in f for f in found.inputFiles()):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", False).parquet(folder)
 
 
 def finished(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
