@@ -22,6 +22,8 @@ from quillspark.operators import units as U
 KINDS = {
     "dollars": (r"\$\$[\s\S]+?\$\$", "$$"), "brackets": (r"\\\[[\s\S]+?\\\]", r"\]"), "parentheses": (r"\\\([\s\S]+?\\\)", r"\)"), "dollar": (r"(?<!\$)\$(?!\$)[^\n$]+?\$(?!\$)", "$"),
 }
+# Fixed value: the same where dollars are read in pairs from the left, so that the last of three is single. The kinds before leave no longer odd run.
+PAIRED = KINDS | {"dollar": (r"(?<=(?<!\$)(?:\$\$)?)\$(?!\$)[^\n$]+?\$(?!\$)", "$")}
 TOKEN = "@@MATH"
 
 
@@ -38,7 +40,7 @@ def _up_to_last(text: Column, end: str) -> Column:
     return F.when(at > 0, F.char_length(text) - at + 1).otherwise(0)
 
 
-def protected(text: Column) -> Column:
+def protected(text: Column, of: dict[str, tuple[str, str]] = KINDS) -> Column:
     """masked, mark, kinds, formulas: the text with a token for each formula. Tokens begin with the mark, which the text doesn't hold.
 
     A null text is an empty one. Put the result into a column by an explode before it is used: expressions over it would repeat it.
@@ -62,7 +64,7 @@ def protected(text: Column) -> Column:
 
         return lambda s: T.bound(cut(s), taken)
 
-    for kind, (pattern, end) in KINDS.items():
+    for kind, (pattern, end) in of.items():
         state = T.bound(state, step(kind, pattern, end))
     return state
 

@@ -29,7 +29,7 @@ def formula_texts(docs: DataFrame) -> DataFrame:
 def formula_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas taken out and put back: what is left without them, and that nothing changes."""
     texts = formula_texts(tables.read(spark, sf_dir, "documents"))
-    rows = texts.select("doc_id", F.explode(F.array(M.protected(F.col("markdown")))).alias("p"))
+    rows = texts.select("doc_id", F.explode(F.array(M.protected(F.col("markdown"), M.PAIRED))).alias("p"))
     plain = F.regexp_replace("p.masked", F.concat("p.mark", F.lit(r"\d+@@")), F.lit("@"))
     back = M.restored(F.col("p.masked"), F.col("p.mark"), F.col("p.formulas"))
     return rows.select("doc_id", F.size("p.formulas").alias("formulas"), F.md5(plain).alias("plain"), F.md5(back).alias("restored"))
