@@ -21,6 +21,8 @@ from quillspark.operators import units as U
 KINDS = "heading paragraph display_math table figure caption plain_text".split()
 TEXT_KINDS = "heading paragraph caption plain_text".split()
 LIMITS = {"blocks": 4096, "segments": 4096, "table_rows": 2048, "table_columns": 256, "table_cells": 20000, "page_table_cells": 20000, "nodes": 50000, "text_characters": 5 * 1024 * 1024}
+#: For pages of any size.
+UNLIMITED = dict.fromkeys(LIMITS, 1 << 62)
 FORMULA_KINDS = "formula inline_math display_math".split()
 # Below this confidence a table is shown as its source only.
 TABLE_CONFIDENCE = 0.8
@@ -139,7 +141,7 @@ def _cells(rows: Column, columns: Column, id: Column, at: Column) -> Column:
     return F.flatten(F.transform(rows, lambda row, r: F.transform(places, lambda c: T.bound(F.get(row, c), lambda v: one(v, r, c)))))
 
 
-def _block(v: Column, at: Column, page: Column) -> Column:
+def _block(v: Column, at: Column, page: Column, limits: dict[str, int]) -> Column:
     """The block's node and all below it."""
     kind = F.when(string(v, "kind").isin(KINDS), string(v, "kind")).otherwise("plain_text")
     id = _named(v, F.concat(F.lit("p"), page.cast("string"), F.lit("-b"), at.cast("string")))
@@ -155,23 +157,23 @@ def _block(v: Column, at: Column, page: Column) -> Column:
             header_rows=F.when(table, F.least(F.greatest(F.coalesce(whole(v, "header_rows"), F.lit(0)), F.lit(0)), F.size(x["rows"]))), chars=_length(string(v, "text"), string(v, "latex"), string(v, "number")),
         )
         # a table over its limits is a fault: its cells are not made
-        fits = table & (F.size(x["rows"]) <= LIMITS["table_rows"]) & (wide <= LIMITS["table_columns"]) & (F.size(x["rows"]) * wide <= LIMITS["table_cells"])
+        fits = table & (F.size(x["rows"]) <= limits["table_rows"]) & (wide <= limits["table_columns"]) & (F.size(x["rows"]) * wide <= limits["table_cells"])
         below = F.when(x["kind"] == "paragraph", _segments(v, x["id"], at)).when(fits, F.concat(_caption(v, x["id"], at), _cells(x["rows"], x["wide"], x["id"], at))).when(table | figure, _caption(v, x["id"], at))
         return F.concat(F.array(own), F.coalesce(below, F.slice(F.array(own), 1, 0)))
 
     return T.bound(named, nodes)
 
 
-def normalized(pages: DataFrame, ir: str = "ir") -> DataFrame:
+def normalized(pages: DataFrame, ir: str = "ir", limits: dict[str, int] = LIMITS) -> DataFrame:
     """pages with index, width, height, fault and nodes instead of the JSON column."""
     keys = [c for c in pages.columns if c != ir]
     v = F.col("_page")
     found = pages.select(*keys, F.try_parse_json(F.col(ir)).alias("_page"))
     found = found.select(*keys, "_page", whole(v, "index").alias("index"), F.coalesce(number(v, "width"), F.lit(0.0)).alias("width"), F.coalesce(number(v, "height"), F.lit(0.0)).alias("height"), array(v, "blocks").alias("_blocks"))
-    fault = F.when(~is_object(v), "not_object").when(F.col("index").isNull() | (F.col("index") < 0), "bad_index").when(~is_array(_get(v, "blocks")), "bad_blocks").when(F.size("_blocks") > LIMITS["blocks"], "blocks")
+    fault = F.when(~is_object(v), "not_object").when(F.col("index").isNull() | (F.col("index") < 0), "bad_index").when(~is_array(_get(v, "blocks")), "bad_blocks").when(F.size("_blocks") > limits["blocks"], "blocks")
     found = found.withColumn("_fault", fault)
     blocks = F.filter(F.col("_blocks"), is_object)
-    nodes = F.when(F.col("_fault").isNull(), F.flatten(F.transform(blocks, lambda b, i: _block(b, i, F.col("index")))))
+    nodes = F.when(F.col("_fault").isNull(), F.flatten(F.transform(blocks, lambda b, i: _block(b, i, F.col("index"), limits))))
     # an explode keeps the optimizer from copying the nodes into every use of them
     found = found.select(*keys, "index", "width", "height", "_fault", F.explode_outer(F.array(nodes)).alias("nodes"))
     each = lambda test: F.filter("nodes", test)
@@ -179,9 +181,9 @@ def normalized(pages: DataFrame, ir: str = "ir") -> DataFrame:
     ids = F.array_sort(F.transform("nodes", lambda n: n["id"]))
     twice = T.bound(ids, lambda s: F.array_min(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
     faults = {
-        "segments": over(lambda n: (n["level"] == "segment") & (n["place"] > LIMITS["segments"])), "table_rows": over(lambda n: n["rows"] > LIMITS["table_rows"]), "table_columns": over(lambda n: (n["level"] == "block") & (n["columns"] > LIMITS["table_columns"])),
-        "table_cells": over(lambda n: n["rows"] * n["columns"] > LIMITS["table_cells"]), "page_table_cells": F.size(each(lambda n: n["level"] == "cell")) > LIMITS["page_table_cells"], "nodes": F.size("nodes") > LIMITS["nodes"],
-        "text_characters": F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + n["chars"]) > LIMITS["text_characters"],
+        "segments": over(lambda n: (n["level"] == "segment") & (n["place"] > limits["segments"])), "table_rows": over(lambda n: n["rows"] > limits["table_rows"]), "table_columns": over(lambda n: (n["level"] == "block") & (n["columns"] > limits["table_columns"])),
+        "table_cells": over(lambda n: n["rows"] * n["columns"] > limits["table_cells"]), "page_table_cells": F.size(each(lambda n: n["level"] == "cell")) > limits["page_table_cells"], "nodes": F.size("nodes") > limits["nodes"],
+        "text_characters": F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + n["chars"]) > limits["text_characters"],
     }
     first = F.coalesce(F.col("_fault"), *[F.when(test, F.lit(name)) for name, test in faults.items()], F.concat(F.lit("duplicate_id "), twice))
     found = found.select(*keys, "index", "width", "height", first.alias("fault"), "nodes")

@@ -101,7 +101,11 @@ def _units_of(block: Column, nodes: Column) -> Column:
         def cut(g: Column) -> Column:
             several = F.size(F.array_distinct(g)) > 1
             name = lambda k: F.when(lined, F.concat(block["id"], F.lit("-line"), k.cast("string"))).when(several, F.concat(block["id"], F.lit("-unit"), k.cast("string"))).otherwise(block["id"])
-            return F.transform(F.array_distinct(g), lambda k: _unit(name(k), F.filter(held, lambda s, i: F.get(g, i) == k)))
+            lines = F.transform(F.array_distinct(g), lambda k: _unit(name(k), F.filter(held, lambda s, i: F.get(g, i) == k)))
+            # clauses lie one after the other: each is cut out, so that the work stays in proportion to the segments
+            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0))), lambda i: (i < F.size(g)) & ((i == 0) | (F.get(g, i) != F.get(g, i - 1))))
+            clauses = T.bound(starts, lambda s: F.transform(s, lambda a, n: _unit(name(F.get(g, a)), F.slice(held, a + 1, F.coalesce(F.get(s, n + 1), F.size(g)) - a))))
+            return F.when(lined, lines).otherwise(clauses)
 
         return T.bound(groups, cut)
 
