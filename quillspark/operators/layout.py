@@ -17,17 +17,41 @@ FIRST_ITEMS, FIRST_COST, ITEMS, COST = 2, 900, 5, 1800
 def nearest_targets(points: DataFrame, boxes: DataFrame, reach: float = REACH) -> DataFrame:
     """points (page, point, x, y) and boxes (page, id, x0, y0, x1, y1, ord) -> point, id: the smallest box around the point, else the nearest within reach.
 
-    Boxes meet points of their own page only, so the join is an equi-join; the best one is an aggregate.
+    A page is cut into cells. Of the boxes that cover a cell whole, only the smallest one can be a point's; of those that cover a part of it, only
+    those that are smaller still. So a dense page leaves few boxes a cell, and points meet these. Points in no box meet the boxes around them.
     """
-    near = points.filter(F.col("x").between(0, 1) & F.col("y").between(0, 1)).join(boxes, "page")
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    points = points.filter(F.col("x").between(0, 1) & F.col("y").between(0, 1))
+    boxes = boxes.select("page", "id", "x0", "y0", "x1", "y1", F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), "ord").alias("_size"))
+    cell = ["page", "_cx", "_cy"]
+
+    def cells(column: Column, size: float) -> Column:
+        return F.floor(column / size).cast("int")
+
+    def spread(rows: DataFrame, size: float, bounds: dict[str, tuple[Column, Column]]) -> DataFrame:
+        """rows once for each cell between two places, both included, on the page."""
+        for name, (low, high) in bounds.items():
+            low, high = F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))
+            rows = rows.filter(low <= high).select("*", F.explode(F.sequence(cells(low, size), cells(high, size))).alias(name))
+        return rows
+
+    # a quotient never falls as its dividend grows: a point's cell between those of two edges, without them, lies between the edges
+    small = reach / 4
+    covered = spread(boxes, small, {"_cx": (F.col("x0"), F.col("x1")), "_cy": (F.col("y0"), F.col("y1"))})
+    whole = (F.col("_cx") > F.floor(F.col("x0") / small)) & (F.col("_cx") < F.floor(F.col("x1") / small)) & (F.col("_cy") > F.floor(F.col("y0") / small)) & (F.col("_cy") < F.floor(F.col("y1") / small))
+    best = covered.filter(whole).groupBy(*cell).agg(F.min_by(F.struct("id", "x0", "y0", "x1", "y1", "_size"), "_size").alias("_best"))
+    parts = covered.filter(~whole).join(best, cell, "left").filter(F.col("_best").isNull() | (F.col("_size") < F.col("_best._size"))).drop("_best")
+    there = parts.unionByName(best.select(*cell, "_best.*"))
+    met = points.select("page", "point", "x", "y", cells(F.col("x"), small).alias("_cx"), cells(F.col("y"), small).alias("_cy")).join(there, cell).filter(inside)
+    held = met.groupBy("point").agg(F.min_by("id", "_size").alias("id"))
+
     gap = lambda p, a, b: F.when(F.col(p) < F.col(a), F.col(a) - F.col(p)).when(F.col(p) > F.col(b), F.col(p) - F.col(b)).otherwise(0.0)
     dx, dy = gap("x", "x0", "x1"), gap("y", "y0", "y1")
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    rated = near.select("point", "id", inside.alias("inside"), area.alias("area"), (dx * dx + dy * dy).alias("distance"), "ord")
-    rated = rated.filter(F.col("inside") | (F.col("distance") <= reach * reach))
-    order = F.struct((~F.col("inside")).alias("outside"), F.when(F.col("inside"), 0.0).otherwise(F.col("distance")).alias("distance"), "area", "ord")
-    return rated.groupBy("point").agg(F.min_by("id", order).alias("id"))
+    span = lambda a, b: (F.least(a, b) - 1.01 * reach, F.greatest(a, b) + 1.01 * reach)
+    around = spread(boxes, reach, {"_cx": span("x0", "x1"), "_cy": span("y0", "y1")})
+    rest = points.join(held.select("point"), "point", "left_anti").select("page", "point", "x", "y", cells(F.col("x"), reach).alias("_cx"), cells(F.col("y"), reach).alias("_cy"))
+    near = rest.join(around, cell).select("point", "id", (dx * dx + dy * dy).alias("_distance"), "_size").filter(F.col("_distance") <= reach * reach)
+    return held.unionByName(near.groupBy("point").agg(F.min_by("id", F.struct("_distance", "_size")).alias("id")))
 
 
 def rotated_box(box: Column, turn: int) -> Column:
