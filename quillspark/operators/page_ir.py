@@ -216,12 +216,17 @@ def visible_items(pages: DataFrame) -> DataFrame:
 def table_models(pages: DataFrame) -> DataFrame:
     """A row for each table of normalized pages: its shape, head and body cells in order, whether they are numbers, and whether only its source is shown."""
     keys = [c for c in pages.columns if c != "nodes"]
-    each = pages.select(*keys, "nodes", F.explode(F.filter("nodes", lambda n: (n["level"] == "block") & (n["kind"] == "table"))).alias("t"))
-    cells = F.filter("nodes", lambda n: (n["level"] == "cell") & (n["block"] == F.col("t.block")))
     numeric = lambda n: (T.trimmed(n["text"]) != "") & n["text"].rlike(NUMERIC)
-    model = lambda n: F.struct(n["row"].alias("row"), n["col"].alias("col"), n["id"].alias("id"), n["text"].alias("text"), n["role"].alias("role"), numeric(n).alias("numeric"))
-    head = F.col("t.header_rows")
-    return each.select(
-        *keys, F.col("t.id").alias("id"), F.col("t.columns").alias("columns"), F.col("t.rows").alias("rows"), F.transform(F.filter(cells, lambda n: n["row"] < head), model).alias("head"), F.transform(F.filter(cells, lambda n: n["row"] >= head), model).alias("body"),
-        F.coalesce(F.col("t.confidence") < TABLE_CONFIDENCE, F.lit(False)).alias("source_only"),
-    )
+    cell = lambda n: F.struct(n["row"].alias("row"), n["col"].alias("col"), n["id"].alias("id"), n["text"].alias("text"), n["role"].alias("role"), numeric(n).alias("numeric"))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("nodes") - 1, F.lit(0))), lambda i: F.coalesce((F.get("nodes", i)["level"] == "block") & (F.get("nodes", i)["kind"] == "table"), F.lit(False)))
+
+    def model(t: Column, i: Column) -> Column:
+        # its cells follow a table and its caption: no table looks at, or is handed, the other nodes of its page
+        below = F.filter(F.slice("nodes", i + 2, t["rows"] * t["columns"] + 1), lambda n: (n["level"] == "cell") & (n["block"] == t["block"]))
+        part = lambda head: F.transform(F.filter(below, lambda n: (n["row"] < t["header_rows"]) == F.lit(head)), cell)
+        return F.struct(
+            t["id"].alias("id"), t["columns"].alias("columns"), t["rows"].alias("rows"), part(True).alias("head"), part(False).alias("body"), F.coalesce(t["confidence"] < TABLE_CONFIDENCE, F.lit(False)).alias("source_only"),
+        )
+
+    each = pages.filter(F.col("nodes").isNotNull()).select(*keys, F.explode(F.transform(starts, lambda i: T.bound(F.get("nodes", i), lambda t: model(t, i)))).alias("_table"))
+    return each.select(*keys, "_table.*")
