@@ -14,8 +14,9 @@ LATIN_STOP_WORDS = (
     "a an and are as at be been by for from has have in into is it its of on or our that the their these this those to using was we were with without which can may than then"
 ).split()
 HAN_STOP_WORDS = "一个 一种 以及 对于 本文 我们 这个 这些 其中 通过 可以 进行 使用 提出 基于 方法 结果 为了".split()
-# What a search token is, and the blocks that count one token for each character.
+# What a search token is, the same without single letters and ways back, and the blocks that count one token for each character.
 TOKEN = r"[a-z][a-z0-9]*(?:[_-][a-z0-9]+)*|\d+(?:\.\d+)?"
+LONG_TOKEN = r"[a-z][a-z0-9]++(?:[_-][a-z0-9]++)*+|[a-z](?:[_-][a-z0-9]++)++|\d++(?:\.\d++)?+"
 WIDE = "[　-鿿豈-﫿＀-￯]"
 
 
@@ -67,13 +68,10 @@ def stem(token: Column) -> Column:
 
 
 def _latin(text: Column) -> Column:
-    def both(t: Column) -> Column:
-        own = F.when(~t.isin(LATIN_STOP_WORDS), t)
-        stemmed = lambda s: F.when((s != t) & ~s.isin(LATIN_STOP_WORDS), s)
-        return bound(stem(t), lambda s: F.filter(F.array(own, stemmed(s)), lambda x: x.isNotNull()))
-
-    found = F.filter(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), lambda t: (F.char_length(t) > 1) | t.rlike(r"\d"))
-    return F.flatten(F.transform(found, both))
+    """Each token and, where it differs, its stem; no stop words."""
+    both = lambda t: F.array(t, F.nullif(stem(t), t))
+    tokens = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0)), both))
+    return F.filter(tokens, lambda x: x.isNotNull() & ~x.isin(LATIN_STOP_WORDS))
 
 
 def _grams(run: Column, n: int) -> Column:
@@ -89,12 +87,17 @@ def _han(text: Column, query: bool) -> Column:
         triples = _grams(run, 3) if query else F.array().cast("array<string>")
         return F.when(n == 1, F.array(run)).otherwise(F.concat(whole, pairs, triples))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{IsHan}+)"), 1), parts))
+    # a text in ASCII has no such run
+    runs = F.when(F.octet_length(text) > F.char_length(text), F.regexp_extract_all(text, F.lit(r"\p{IsHan}++"), F.lit(0)))
+    return F.coalesce(F.flatten(F.transform(runs, parts)), F.array().cast("array<string>"))
 
 
 def search_tokens(text: Column, query: bool = False) -> Column:
-    """Search tokens in order, repeats included: Latin words and numbers with their stems, then Han runs and n-grams."""
-    return F.get(F.transform(F.array(search_text(text)), lambda t: F.concat(_latin(t), _han(t, query))), 0)
+    """Search tokens in order, repeats included: Latin words and numbers with their stems, then Han runs and n-grams.
+
+    White space is in no token, so it stays as it is.
+    """
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.concat(_latin(t), _han(t, query)))
 
 
 def estimated_tokens(text: Column) -> Column:

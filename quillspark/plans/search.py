@@ -64,16 +64,19 @@ def postings_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.postings(docs, ["lang"])
 
 
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents")
-    pages = docs.select(F.col("source").alias("doc"), (F.col("doc_id") + 1).alias("page"), "text", F.lit("").alias("heading"), F.lit("source").alias("source_type"), F.lit("done").alias("status"))
-    return R.chunk_pages(pages)
+    return docs.select(F.col("source").alias("doc"), (F.col("doc_id") + 1).alias("page"), "text", F.lit("").alias("heading"), F.lit("source").alias("source_type"), F.lit("done").alias("status"))
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.chunk_pages(_source_pages(spark, sf_dir))
 
 
 def evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole query path: chunks, BM25, best chunk of each page, snippets."""
-    chunks = chunk_documents(spark, sf_dir)
-    return R.evidence(chunks, QUERY)
+    pages = _source_pages(spark, sf_dir)
+    return R.evidence(R.chunk_pages(pages), QUERY, chunks_of=lambda few: R.chunk_pages(pages.join(F.broadcast(few), "page", "left_semi").select(pages.columns)))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
