@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REACH = 0.04
 # Limits of the first and of later batches.
 FIRST_ITEMS, FIRST_COST, ITEMS, COST = 2, 900, 5, 1800
+WORD = r"[A-Za-z]{2,}(?:[-'][A-Za-z]{2,})*"
 
 
 def nearest_targets(points: DataFrame, boxes: DataFrame, reach: float = REACH) -> DataFrame:
@@ -73,33 +77,51 @@ def column_anchor(rects: Column, top: Column) -> Column:
 
 
 def unit_cost(text: str, math_tokens: int = 0) -> int:
-    words = len(re.findall(r"[A-Za-z]{2,}(?:[-'][A-Za-z]{2,})*", text))
+    words = len(re.findall(WORD, text))
     return max(1, len(text) + min(900, 4 * words + 48 * math_tokens))
 
 
+def taken(state: tuple[int, int, int], cost: int) -> tuple[int, int, int]:
+    """Batch, items and cost after one more unit: greedy and in order; the first batch is small, an oversized unit goes alone."""
+    batch, held, spent = state
+    items, limit = (FIRST_ITEMS, FIRST_COST) if batch == 0 else (ITEMS, COST)
+    if held and (held >= items or spent + cost > limit or spent >= limit):
+        batch, held, spent = batch + 1, 0, 0
+    return batch, held + 1, spent + cost
+
+
 def batch_numbers(costs: list[int]) -> list[int]:
-    """The batch of each unit: greedy and in order; the first batch is small, an oversized unit goes alone."""
-    out, batch, held, spent = [], 0, 0, 0
-    for cost in costs:
-        items, limit = (FIRST_ITEMS, FIRST_COST) if batch == 0 else (ITEMS, COST)
-        if held and (held >= items or spent + cost > limit or spent >= limit):
-            batch, held, spent = batch + 1, 0, 0
-        out.append(batch)
-        held, spent = held + 1, spent + cost
-    return out
+    """The batch of each unit."""
+    return [state[0] for state in itertools.accumulate(costs, taken, initial=(0, 0, 0))][1:]
 
 
 def unit_batches(units: DataFrame) -> DataFrame:
-    """units (doc, ord, id, text) -> doc, ord, id, cost, batch; repeated ids go, the first stays. A document is one group."""
+    """units (doc, ord, id, text) -> doc, ord, id, cost, batch; repeated ids go, the first stays.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        rows = rows[(rows["id"].str.strip() != "") & ~rows["id"].str.strip().duplicated()]
-        costs = [unit_cost(t or "") for t in rows["text"]]
-        return pd.DataFrame({"doc": rows["doc"], "ord": rows["ord"], "id": rows["id"], "cost": costs, "batch": batch_numbers(costs)})
+    Costs are taken from the texts where they are read; documents then come one after the other, in order, and only the open batch is carried on.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, seen, state = None, set(), (0, 0, 0)
+        for rows in batches:
+            docs, ids, costs = (rows.column(c).to_pylist() for c in ("doc", "id", "cost"))
+            kept, numbers = [], []
+            for i, (own, name, cost) in enumerate(zip(docs, ids, costs)):
+                if own != doc:
+                    doc, seen, state = own, set(), (0, 0, 0)
+                key = name.strip() if name is not None else None
+                if key != "" and key not in seen:
+                    seen.add(key)
+                    state = taken(state, cost)
+                    kept.append(i)
+                    numbers.append(state[0])
+            yield rows.take(pa.array(kept, pa.int64())).append_column("batch", pa.array(numbers, pa.int32()))
+
+    text = F.coalesce("text", F.lit(""))
+    extra = F.least(F.lit(900), 4 * F.regexp_count(text, F.lit(WORD)))
+    costs = units.select("doc", F.col("ord").cast("long").alias("ord"), "id", F.greatest(F.lit(1), F.char_length(text) + extra).cast("int").alias("cost"))
     doc = units.schema["doc"].dataType.simpleString()
-    return units.groupBy("doc").applyInPandas(run, f"doc {doc}, ord long, id string, cost int, batch int")
+    return costs.repartition("doc").sortWithinPartitions("doc", "ord").mapInArrow(run, f"doc {doc}, ord long, id string, cost int, batch int")
 
 
 # ---- blocks from glyphs ------------------------------------------------------------------------------------------------
@@ -195,12 +217,27 @@ def blocks_of(glyphs: list[dict]) -> list[dict]:
 
 
 def page_blocks(glyphs: DataFrame) -> DataFrame:
-    """glyphs (page, ord, str, x, y, width, size) -> page, block, kind, text, size, x, y, right. A page is one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        items = [{"str": s, "x": x, "y": y, "end": x + w, "size": z} for s, x, y, w, z in rows.sort_values("ord")[["str", "x", "y", "width", "size"]].itertuples(index=False)]
-        out = [(rows["page"].iat[0], i, b["kind"], b["text"], float(b["size"]), float(b["x"]), float(b["top"]), float(b["end"])) for i, b in enumerate(blocks_of(items))]
-        return pd.DataFrame(out, columns=["page", "block", "kind", "text", "size", "x", "y", "right"])
+    """glyphs (page, ord, str, x, y, width, size) -> page, block, kind, text, size, x, y, right. Pages come one after the other, in order."""
+    names = ["page", "block", "kind", "text", "size", "x", "y", "right"]
+
+    def blocks(page: object, items: list[dict]) -> list[tuple]:
+        return [(page, i, b["kind"], b["text"], float(b["size"]), float(b["x"]), float(b["top"]), float(b["end"])) for i, b in enumerate(blocks_of(items))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, held = None, []
+        for rows in batches:
+            columns = (rows[c].tolist() for c in ("page", "str", "x", "y", "width", "size"))
+            out = []
+            for own, s, x, y, w, z in zip(*columns):
+                if held and own != page:
+                    out += blocks(page, held)
+                    held = []
+                page = own
+                held.append({"str": s, "x": x, "y": y, "end": x + w, "size": z})
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(blocks(page, held), columns=names)
 
     page = glyphs.schema["page"].dataType.simpleString()
-    return glyphs.groupBy("page").applyInPandas(run, f"page {page}, block int, kind string, text string, size double, x double, y double, right double")
+    ordered = glyphs.select("page", "ord", "str", "x", "y", "width", "size").repartition("page").sortWithinPartitions("page", "ord")
+    return ordered.mapInPandas(run, f"page {page}, block int, kind string, text string, size double, x double, y double, right double")
