@@ -75,9 +75,12 @@ def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchor_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of a source's anchors its output has, and which it lacks."""
     rows = _anchored(spark, sf_dir)
+    # each is found once: expressions over it would find it again
+    each = [F.struct(anchors(F.col("source")).alias("wanted"), anchors(F.coalesce("output", F.lit(""))).alias("found")).alias(kind) for kind, anchors in _KINDS.items()]
+    rows = rows.select("doc_id", F.explode(F.array(F.struct(*each))).alias("a"))
     columns = []
-    for kind, anchors in _KINDS.items():
-        wanted, found = anchors(F.col("source")), anchors(F.coalesce("output", F.lit("")))
+    for kind in _KINDS:
+        wanted, found = F.col(f"a.{kind}.wanted"), F.col(f"a.{kind}.found")
         columns += [F.round(G.coverage(wanted, found), 3).alias(kind), F.array_join(F.array_sort(F.array_except(wanted, found)), "|").alias(f"no_{kind}")]
     return rows.select("doc_id", *columns)
 
