@@ -36,8 +36,7 @@ def replaced(text: Column, pattern: str, body: Callable[[Column, Column], Column
 
 def _up_to_last(text: Column, end: str) -> Column:
     """The length of text up to the last end mark, with it; 0 without one."""
-    at = F.locate(end[::-1], F.reverse(text))
-    return F.when(at > 0, F.char_length(text) - at + 1).otherwise(0)
+    return F.char_length(text) - F.char_length(F.substring_index(text, end, -1))
 
 
 def protected(text: Column, of: dict[str, tuple[str, str]] = KINDS) -> Column:
@@ -58,9 +57,10 @@ def protected(text: Column, of: dict[str, tuple[str, str]] = KINDS) -> Column:
 
         def taken(c: Column) -> Column:
             s = c["s"]
-            masked = replaced(c["head"], pattern, lambda m, i: F.concat(s["mark"], (F.size(s["formulas"]) + i).cast("string"), F.lit("@@")))
-            found = F.regexp_extract_all(c["head"], F.lit(pattern), 0)
-            return T.bound(found, lambda m: F.struct(F.concat(masked, c["tail"]).alias("masked"), s["mark"].alias("mark"), F.concat(s["kinds"], F.transform(m, lambda _: F.lit(kind))).alias("kinds"), F.concat(s["formulas"], m).alias("formulas")))
+            token = lambda i: F.concat(s["mark"], (F.size(s["formulas"]) + i).cast("string"), F.lit("@@"))
+            between = lambda m: F.transform(F.split(c["head"], pattern, -1), lambda p, i: F.concat(p, F.when(i < F.size(m), token(i)).otherwise("")))
+            with_tokens = lambda m: F.struct(F.concat(F.array_join(between(m), ""), c["tail"]).alias("masked"), s["mark"].alias("mark"), F.concat(s["kinds"], F.transform(m, lambda _: F.lit(kind))).alias("kinds"), F.concat(s["formulas"], m).alias("formulas"))
+            return T.bound(F.regexp_extract_all(c["head"], F.lit(pattern), 0), lambda m: F.when(F.size(m) > 0, with_tokens(m)).otherwise(s))
 
         return lambda s: T.bound(cut(s), taken)
 
@@ -80,21 +80,27 @@ def _unwrapped(text: Column, mark: Column, formulas: Column) -> Column:
 
 
 def restored(masked: Column, mark: Column, formulas: Column) -> Column:
-    """masked with the formulas in place of their tokens, those inside formulas included."""
+    """masked with the formulas in place of their tokens, those inside formulas included. What holds no token is left alone."""
     for _ in KINDS:
-        masked = T.bound(masked, lambda t: _unwrapped(t, mark, formulas))
+        masked = T.bound(masked, lambda t: F.when(F.contains(t, mark), _unwrapped(t, mark, formulas)).otherwise(t))
     return masked
 
 
 def spans(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, place, start, stop, kind, formula of the outermost formulas, in characters from 0. keys name a row."""
+    """keys, place, start, stop, kind, formula of the outermost formulas, in characters from 0. keys name a row.
+
+    Formulas are put back where the row is whole: a row of each piece with the text beside it would grow with the square of the text.
+    """
     p = F.col("_p")
     found = rows.select(*keys, F.explode(F.array(protected(F.col(text)))).alias("_p"))
-    each = found.select(*keys, "_p", F.posexplode(_pieces(p["masked"], p["mark"])).alias("place", "_piece"))
-    n = F.when(F.col("place") > 0, F.substring_index("_piece", "@@", 1).cast("int"))
-    formula = restored(F.get(p["formulas"], n), p["mark"], p["formulas"])
-    after = F.when(F.col("place") > 0, F.char_length("_piece") - F.locate("@@", F.col("_piece")) - 1).otherwise(F.char_length("_piece"))
-    each = each.select(*keys, "place", F.get(p["kinds"], n).alias("kind"), F.explode_outer(F.array(formula)).alias("formula"), after.alias("_after"))
+
+    def part(piece: Column, place: Column) -> Column:
+        n = F.when(place > 0, F.substring_index(piece, "@@", 1).cast("int"))
+        after = F.when(place > 0, F.char_length(piece) - F.locate("@@", piece) - 1).otherwise(F.char_length(piece))
+        return F.struct(F.get(p["kinds"], n).alias("kind"), restored(F.get(p["formulas"], n), p["mark"], p["formulas"]).alias("formula"), after.alias("after"))
+
+    each = found.select(*keys, F.posexplode(F.transform(_pieces(p["masked"], p["mark"]), part)).alias("place", "_part"))
+    each = each.select(*keys, "place", "_part.kind", "_part.formula", F.col("_part.after").alias("_after"))
     long = F.coalesce(F.char_length("formula"), F.lit(0))
     each = each.withColumn("_end", F.sum(long + F.col("_after")).over(Window.partitionBy(*keys).orderBy("place"))).filter("place > 0")
     return each.select(*keys, F.col("place") - 1, (F.col("_end") - F.col("_after") - long).alias("start"), (F.col("_end") - F.col("_after")).alias("stop"), "kind", "formula").toDF(*keys, "place", "start", "stop", "kind", "formula")
