@@ -73,9 +73,8 @@ def lines_with_depth(text: Column) -> Column:
     )
 
     def moves(x: Column) -> Column:
-        other = x["body"].rlike(ELSE)
-        opens = other | (x["body"].rlike(OPENS) & ~x["body"].rlike(CLOSES))
-        return F.struct((other | x["body"].rlike(CLOSES)).cast("int").alias("back"), opens.cast("int").alias("on"))
+        seen = F.struct(x["body"].rlike(ELSE).alias("other"), x["body"].rlike(CLOSES).alias("closes"), x["body"].rlike(OPENS).alias("opens"))
+        return T.bound(seen, lambda s: F.struct((s["other"] | s["closes"]).cast("int").alias("back"), (s["other"] | (s["opens"] & ~s["closes"])).cast("int").alias("on")))
 
     def step(state: Column, m: Column) -> Column:
         at = F.greatest(F.lit(0), state["depth"] - m["back"])
@@ -87,14 +86,18 @@ def lines_with_depth(text: Column) -> Column:
 
 
 def indented(text: Column) -> Column:
-    """Lines as "num: ", blanks by depth, body."""
+    return shown(lines_with_depth(text))
+
+
+def shown(lines: Column) -> Column:
+    """Lines with depth as "num: ", blanks by depth, body."""
 
     def line(x: Column) -> Column:
         blank = x["num"].isNull() & (x["body"] == "")
         shown = F.concat(F.coalesce(F.concat(x["num"], F.lit(": ")), F.lit("")), F.repeat(F.lit(" " * INDENT), x["depth"]), x["body"])
         return F.when(blank, "").otherwise(F.regexp_replace(shown, r"\s+$", ""))
 
-    return F.array_join(F.transform(lines_with_depth(text), line), "\n")
+    return F.array_join(F.transform(lines, line), "\n")
 
 
 def display_line(line: Column) -> Column:

@@ -23,8 +23,8 @@ def step_texts(docs: DataFrame) -> DataFrame:
 
 def algorithm_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = step_texts(tables.read(spark, sf_dir, "documents"))
-    rows = steps.select("doc_id", "steps", A.lines_with_depth(F.col("steps")).alias("l"))
-    return rows.select("doc_id", F.size("l").alias("lines"), F.array_max(F.transform("l", lambda x: x["depth"])).alias("deepest"), F.md5(A.indented(F.col("steps"))).alias("content"))
+    rows = steps.select("doc_id", F.explode(F.array(A.lines_with_depth(F.col("steps")))).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("lines"), F.array_max(F.transform("l", lambda x: x["depth"])).alias("deepest"), F.md5(A.shown(F.col("l"))).alias("content"))
 
 
 def _re(pattern: str) -> str:
