@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillspark.functions import text as T
 
-#: Lines that a difference looks ahead.
-AHEAD = 8
+#: Lines that a difference looks ahead; changed lines after which a task hands on what it has.
+AHEAD, HELD_LINES = 8, 4096
 # Points of a term that is a name, begins one, stands in one, in the title, in the prompt; of long and short keywords, and the least.
 NAME_IS, NAME_BEGINS, NAME_HAS, TITLE_HAS, PROMPT_HAS = 12, 7, 5, 3, 1
 LONG_KEYWORD, LONG_POINTS, SHORT_POINTS, LEAST_POINTS = 4, 2, 1, 2
@@ -61,9 +64,24 @@ def line_changes(before: str | None, after: str | None) -> list[tuple[str, str]]
 
 
 def line_diffs(pairs: DataFrame) -> DataFrame:
-    """pairs (..., before, after) with changes: array<struct<kind, line>>."""
-    udf = F.pandas_udf(lambda a, b: pd.Series([[{"kind": k, "line": x} for k, x in line_changes(p, q)] for p, q in zip(a, b)]), "array<struct<kind string, line string>>")
-    return pairs.withColumn("changes", udf("before", "after"))
+    """pairs (..., before, after) with changes: array<struct<kind, line>>. The changes of a few pairs are held at a time."""
+    kinds = pa.struct([("kind", pa.string()), ("line", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            begin = 0
+            while begin < rows.num_rows:
+                end, changes, lines = begin, [], 0
+                while end < rows.num_rows and lines < HELD_LINES:
+                    found = line_changes(rows.column("before")[end].as_py(), rows.column("after")[end].as_py())
+                    changes.append([{"kind": k, "line": x} for k, x in found])
+                    end, lines = end + 1, lines + len(found)
+                yield rows.slice(begin, end - begin).append_column("changes", pa.array(changes, pa.list_(kinds)))
+                begin = end
+
+    changed = StructType([StructField("kind", StringType()), StructField("line", StringType())])
+    schema = StructType([*pairs.schema.fields, StructField("changes", ArrayType(changed))])
+    return pairs.mapInArrow(run, schema)
 
 
 def skills_found(skills: DataFrame, query: str) -> DataFrame:
