@@ -562,7 +562,9 @@ def groups_of(training: DataFrame, group_tokens: int) -> tuple[DataFrame, int]:
         training = hot.withColumn("turn", F.when(F.col("k").isNotNull(), F.monotonically_increasing_id() % groups).otherwise(0)).drop("d", "k")
     else:
         training = training.withColumn("turn", F.lit(0))
-    return training.repartition(groups, "doc_id", "key", "turn").sortWithinPartitions("key", "doc_id").select("codes"), groups
+    # a group is a partition, whatever number of partitions the session deals keys to: each group hands on all weights
+    training = training.withColumn("group", ((F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)) + F.col("turn")) % groups).cast("int"))
+    return training.repartitionById(groups, "group").sortWithinPartitions("key", "doc_id").select("codes"), groups
 
 
 def fitted(training: DataFrame, first, group_tokens: int = GROUP_TOKENS) -> DataFrame:
