@@ -17,7 +17,9 @@ of the number of its elements there; the bits in which two sketches differ are n
 most unlike pairs go without a look at the sets. Of a set's meetings one is verified at first; those that it doesn't connect come after.
 
 Where a signature of three members or more then still holds several components (sets that agree in one cell only), the members outside
-its largest component are compared with those of other components, by sizes and sketches first. Signatures of more than MANY members
+its largest component meet two members of it each, by the order of a hash, and of all these the closest sketch is verified: a group of near
+copies is connected by some of its links, without its pairs. Where a signature holds several components even then, the members outside its
+largest one are compared with those of other components, by sizes and sketches first. Signatures of more than MANY members
 are not compared as a whole: their members meet at their rarest elements, for sets of n elements with an index of 0.85 share one of the
 first n - ceil(0.85 n) + 1 in any common order. Texts of that kind which agree in such elements, too, but are not alike, cost the square of
 their number in comparisons of sketches (not in rows).
@@ -41,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm import simhash
 from quillspark.llm.common import written
@@ -54,8 +57,10 @@ SHORT = 15
 FLUSH, MEETING = 1 << 19, 1 << 20
 #: Bits of a sketch, and members of a signature that are compared with each other.
 PARITIES, MANY = 512, 2048
+#: Members among which one that is outside of the largest component looks for two of it.
+PART = 256
 
-_SKETCH = [f"odd{i}" for i in range(PARITIES // 64)]
+SKETCH = [f"odd{i}" for i in range(PARITIES // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,10 +145,10 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
 def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [(*node_of(s), len(s), *parities(s)) for s in map(shingle_set, _texts(batch))]
-        values = np.array(found, np.int64).reshape(-1, 3 + len(_SKETCH))
+        values = np.array(found, np.int64).reshape(-1, 3 + len(SKETCH))
         columns = [c for c in batch.schema.names if c != "text"]
         rest = [pa.array(values[:, i]) for i in range(values.shape[1])]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *rest], names=[*columns, "key1", "key2", "n", *_SKETCH])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *rest], names=[*columns, "key1", "key2", "n", *SKETCH])
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +248,13 @@ def _node(prefix: str = "") -> Column:
 
 def _apart(a: str, b: str) -> Column:
     """The bits in which the sketches of two rows' structs differ."""
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _SKETCH), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SKETCH), F.lit(0))
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether two rows (structs of n and a sketch) can have the index, by sizes and parities."""
+def _may_link(a: str, b: str, link: int = LINK) -> Column:
+    """Whether two rows (structs of n and a sketch) can have the index (in hundredths), by sizes and parities."""
     n = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & ((100 + LINK) * _apart(a, b) <= (100 - LINK) * (n[0] + n[1]))
+    return (100 * F.least(*n) >= link * F.greatest(*n)) & ((100 + link) * _apart(a, b) <= (100 - link) * (n[0] + n[1]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,19 +272,46 @@ def _sets(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(sets.select(_node().alias("node"), "held"), "sets")
 
 
-def _across(members: DataFrame, by: str) -> DataFrame:
-    """a, b, apart: pairs of members (by, node, label, of) of one by whose labels differ and that may link. apart: of their sketches.
+def mixed_components(members: DataFrame, by: str) -> DataFrame:
+    """members (by, node, label, of) of each by that holds several components, with the label of its largest one (main) and the number of its members, written."""
+    kinds = members.groupBy(by, "label").agg(F.count("*").alias("k")).groupBy(by)
+    kinds = kinds.agg(F.count("*").alias("labels"), F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
+    return written(members.select(by, "node", "label", "of").join(kinds.select(by, "size", F.col("most.label").alias("main")), by), "across")
+
+
+def beside(members: DataFrame, by: str, link: int = LINK) -> DataFrame:
+    """a, b, apart: members outside of a by's largest component with two of it, which come next to them by a hash, if they may link. members: mixed_components.
+
+    So there are two rows for each member at most. Large groups are dealt to parts of about PART members.
+    """
+    parts = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART))).withColumn("turn", F.xxhash64(by, "node"))
+    inside = F.when(F.col("label") == F.col("main"), F.struct("node", "of"))
+    next_to = [F.last(inside, ignorenulls=True).over(Window.partitionBy(by, "part").orderBy(turn, "node")) for turn in (F.col("turn"), F.col("turn").desc())]
+    met = parts.select("node", "label", "main", "of", F.array(*next_to).alias("others")).filter("label != main")
+    met = met.select("node", "of", F.explode("others").alias("other")).filter("other is not null").filter(_may_link("of", "other.of", link))
+    return met.select(F.col("node").alias("a"), F.col("other.node").alias("b"), _apart("of", "other.of").alias("apart")).distinct()
+
+
+def across(members: DataFrame, by: str, link: int = LINK) -> DataFrame:
+    """a, b, apart: pairs of members of one by whose labels differ and that may link. apart: of their sketches. members: mixed_components.
 
     Members of the largest component of a by are not compared with each other; a is never one of them.
     """
-    kinds = members.groupBy(by, "label").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("most")).filter("labels > 1")
-    members = written(members.join(kinds.select(by, F.col("most.label").alias("main")), by), "across")
     x, y = members.filter("label != main").alias("x"), members.alias("y")
     new = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & new & _may_link("x.of", "y.of"))
+    met = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & new & _may_link("x.of", "y.of", link))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _apart("x.of", "y.of").alias("apart")).distinct()
 
 
+def labelled_again(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of each a the b with the closest sketch. pairs: a, b, apart."""
+    return pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+
+
 def _rarest(sets: DataFrame) -> DataFrame:
     """element, node: of each set of n the first n - ceil(0.85 n) + 1 elements, the rarest of these sets first."""
     each = sets.select("node", F.size("held").alias("n"), F.explode("held").alias("element"))
@@ -293,9 +325,9 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key1, key2, n for each row of docs, node and label for the nodes that have links). docs: doc_id, text."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), "text")
-    noded = written(keyed.mapInArrow(_noded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of_text long, key1 long, key2 long, n long, {', '.join(f'{x} long' for x in _SKETCH)}"), "noded")
+    noded = written(keyed.mapInArrow(_noded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, of_text long, key1 long, key2 long, n long, {', '.join(f'{x} long' for x in SKETCH)}"), "noded")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("first")
-    nodes = noded.filter("n > 0").groupBy("key1", "key2").agg(F.first(F.struct("n", *_SKETCH)).alias("of"), first)
+    nodes = noded.filter("n > 0").groupBy("key1", "key2").agg(F.first(F.struct("n", *SKETCH)).alias("of"), first)
     nodes = written(nodes.select("key1", _node().alias("node"), "of", "first.doc_id", "first.of_text"), "nodes")
 
     total = nodes.agg(F.sum("of.n")).first()[0] or 0
@@ -330,23 +362,32 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = members.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 2")
     members = members.join(sizes, "sig").join(nodes, "key1").join(labels, "node", "left")
     members = written(members.select("sig", "members", "node", F.coalesce("label", "node").alias("label"), "of"), "members")
-    found = _across(members.filter(F.col("members") <= MANY), "sig")
+    mixed = mixed_components(members.filter(F.col("members") <= MANY), "sig")
+    known = pairs.select("a", "b").union(pairs.select("b", "a"))
+    near = written(closest(beside(mixed, "sig").join(known, ["a", "b"], "left_anti")), "near")
+    with_sets = lambda pairs: sets.union(_sets(keyed, nodes.join(ends(pairs), "node", "left_semi").join(sets, "node", "left_anti")))
+    if not near.isEmpty():
+        sets = with_sets(near)
+        links = written(links.union(verified(near, sets)), "links")
+        labels = simhash.components(links)
+        known = known.union(near).union(near.select("b", "a"))
+        mixed = mixed_components(labelled_again(mixed, labels), "sig")
+    found = across(mixed, "sig")
     many = members.filter(F.col("members") > MANY).select("node", "label", "of").dropDuplicates(["node"])
-    many = written(many, "many")
+    many = written(labelled_again(many, labels), "many")
     if not many.isEmpty():
-        known = sets.join(many, "node", "left_semi").union(_sets(keyed, nodes.join(many, "node", "left_semi").join(sets, "node", "left_anti")))
-        found = found.union(_across(_rarest(known).join(many, "node"), "element")).distinct()
-    known = pairs.select("a", "b").union(pairs.select("b", "a"))
+        held = sets.join(many, "node", "left_semi").union(_sets(keyed, nodes.join(many, "node", "left_semi").join(sets, "node", "left_anti")))
+        found = found.union(across(mixed_components(_rarest(held).join(many, "node"), "element"), "element")).distinct()
     found = written(found.join(known, ["a", "b"], "left_anti"), "found")
     if found.isEmpty():
         return noded, labels
-    sets = sets.union(_sets(keyed, nodes.join(ends(found), "node", "left_semi").join(sets, "node", "left_anti")))
+    sets = with_sets(found)
 
     # the closest sketch first, then those that it doesn't connect
-    closest = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
-    links = written(links.union(verified(closest, sets)), "links")
+    first = closest(found)
+    links = written(links.union(verified(first, sets)), "links")
     labels = simhash.components(links)
-    more = written(apart(found.select("a", "b").join(closest, ["a", "b"], "left_anti")), "more")
+    more = written(apart(found.select("a", "b").join(first, ["a", "b"], "left_anti")), "more")
     return noded, labels if more.isEmpty() else simhash.components(links.union(verified(more, sets)))
 
 
