@@ -4,8 +4,11 @@ Candidates are texts that agree in a band of MinHash values: with BANDS bands of
 with a probability of about 7 in a million, one at 0.9 practically never. Each candidate pair's index is exact.
 
 Pairs are not made group by group, for a group of n copies has n * n of them. First every member of a bucket is compared
-with the bucket's smallest. Only where a bucket then holds several components, the members outside its largest one
-are compared with all members of other components; so each pair of a bucket is compared or connected already.
+with the bucket's smallest. Where a bucket then holds several components, the members outside its largest one meet two
+members of it each, and the closest of all these is compared. Only where a bucket holds several components even then,
+the members outside its largest one are compared with all members of other components; so each pair of a bucket is
+compared or connected already. Pairs whose sketches of parities differ in too many bits can't be close and are left out
+(these bits are no more than the shingles in which two sets differ, see jaccard_join).
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import simhash
+from quillspark.llm import jaccard_join, simhash
 from quillspark.llm.common import bound, text_key, word_shingle_hashes, words, written
 
 BANDS, ROWS = 30, 5
+#: The index that links, in hundredths.
+CLOSE = 80
+
+_SKETCH = jaccard_join.SKETCH
 
 
 def _shingles(text: Column) -> Column:
@@ -35,17 +42,20 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("shingles")
         values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        sizes, bands = [], []
+        sizes, bands, odd = [], [], []
         for a, b in zip(offsets[:-1], offsets[1:]):
             own = np.unique(values[a:b])
             low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
             for at in range(0, len(own), 256):
                 low = np.minimum(low, ((own[at : at + 256, None] ^ turn) * factor).min(0))
             sizes.append(len(own))
+            odd.append(jaccard_join.parities(own))
             bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))])
         flat = pa.array(np.array(bands, np.uint64).view(np.int64).ravel(), pa.int64())
         held = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("key1"), batch.column("key2"), pa.array(sizes, pa.int32()), held], names=["key1", "key2", "size", "bands"])
+        odd = np.array(odd, np.int64).reshape(-1, len(_SKETCH))
+        columns = [batch.column("key1"), batch.column("key2"), pa.array(sizes, pa.int32()), held, *[pa.array(x) for x in odd.T]]
+        yield pa.RecordBatch.from_arrays(columns, names=["key1", "key2", "size", "bands", *_SKETCH])
 
 
 def _may_be_close(a: Column, b: Column) -> Column:
@@ -67,27 +77,29 @@ def close_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def components_of_texts(texts: DataFrame, links: DataFrame) -> DataFrame:
     """node, label for the nodes of links (a, b: nodes) and of close pairs. texts: key1, key2, text, each text once or more."""
     banded = texts.select("key1", "key2", _shingles(F.col("text")).alias("shingles")).filter(F.size("shingles") > 0)
-    banded = written(banded.mapInArrow(_banded, "key1 long, key2 long, size int, bands array<bigint>").dropDuplicates(["key1", "key2"]), "bands")
+    banded = written(banded.mapInArrow(_banded, "key1 long, key2 long, size int, bands array<bigint>, " + ", ".join(f"{x} long" for x in _SKETCH)).dropDuplicates(["key1", "key2"]), "bands")
     members = banded.select(F.struct("key1", "key2").alias("node"), "size", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("first")).filter("n > 1")
     centres = written(centres.select("bucket", F.col("first.node").alias("centre"), F.col("first.size").alias("centre_size")), "centres")
     members = written(members.join(centres, "bucket"), "members")
     first = members.filter((F.col("node") != F.col("centre")) & _may_be_close(F.col("size"), F.col("centre_size")))
-    links = written(links.select("a", "b").union(close_links(texts, first.select(F.col("node").alias("a"), F.col("centre").alias("b")))), "all-links")
+    first = written(first.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "first-pairs")
+    links = written(links.select("a", "b").union(close_links(texts, first)), "all-links")
     labels = simhash.components(links)
 
     # buckets that still hold several components
-    labelled = members.join(labels, "node", "left").select("bucket", "node", "size", "centre", F.coalesce("label", "node").alias("label"))
-    labelled = written(labelled, "labelled")
-    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).filter("labels > 1")
-    mixed = written(mixed.select("bucket", F.col("most.label").alias("main")), "mixed")
-    # the bucket's smallest has met all others
-    left = labelled.filter("node != centre").join(mixed, "bucket").select("bucket", "node", "size", "label", (F.col("label") != F.col("main")).alias("outside"))
-    left = written(left, "left")
-    met = left.filter("outside").alias("x").join(left.alias("y"), "bucket")
-    met = met.filter((F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))) & _may_be_close(F.col("x.size"), F.col("y.size")))
-    more = close_links(texts, met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    sketches = banded.select(F.struct("key1", "key2").alias("node"), F.struct(F.col("size").cast("long").alias("n"), *_SKETCH).alias("of"))
+    labelled = jaccard_join.labelled_again(members.select("bucket", "node").join(sketches, "node"), labels)
+    mixed = jaccard_join.mixed_components(labelled, "bucket")
+    known = first.union(first.select("b", "a"))
+    near = written(jaccard_join.closest(jaccard_join.beside(mixed, "bucket", CLOSE).join(known, ["a", "b"], "left_anti")), "near")
+    if not near.isEmpty():
+        links = written(links.union(close_links(texts, near)), "all-links")
+        labels = simhash.components(links)
+        known = known.union(near).union(near.select("b", "a"))
+        mixed = jaccard_join.mixed_components(jaccard_join.labelled_again(mixed, labels), "bucket")
+    met = jaccard_join.across(mixed, "bucket", CLOSE).select("a", "b")
+    more = close_links(texts, met.join(known, ["a", "b"], "left_anti"))
     return labels if more.isEmpty() else simhash.components(links.union(more))
 
 

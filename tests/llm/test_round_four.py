@@ -2,7 +2,8 @@
 
 import random
 
-from quillspark.llm import jaccard_join
+from quillspark.llm import jaccard_join, near_texts
+from quillspark.llm.common import text_key
 
 
 def near_copies(n, edits, words=160):
@@ -53,3 +54,18 @@ def test_a_group_of_near_copies_is_joined_without_its_pairs(spark, monkeypatch):
     rows = jaccard_join.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(by_pairs(texts, 4, 85)))
     assert counts["found"] < 5 * len(texts)
+
+
+def test_a_group_of_near_texts_is_connected_without_its_pairs(spark, monkeypatch):
+    texts = near_copies(200, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.select("doc_id", *text_key(docs["text"]), "text")
+    none = spark.createDataFrame([], "a struct<key1:bigint,key2:bigint>, b struct<key1:bigint,key2:bigint>")
+    counts = counting(monkeypatch, near_texts)
+    labels = near_texts.components_of_texts(keyed.select("key1", "key2", "text"), none)
+    found = {(r["node"]["key1"], r["node"]["key2"]): tuple(r["label"]) for r in labels.collect()}
+    ids = {r["doc_id"]: (r["key1"], r["key2"]) for r in keyed.collect()}
+    want = by_pairs(texts, 5, 80)
+    same = lambda f: {(i, j) for i in ids for j in ids if f(i) == f(j)}
+    assert same(lambda i: found.get(ids[i], ids[i])) == same(lambda i: want[i])
+    assert counts["pairs"] < 25 * len(texts)
