@@ -56,12 +56,16 @@ def one_line_a_step(text: Column) -> Column:
 
     def by_lines(source: Column) -> Column:
         lines = F.filter(F.transform(F.split(source, "\n"), lambda x: F.regexp_replace(x, r"(?<=\S)[ \t]+$", "")), lambda x: T.trimmed(x) != "")
+        numbered = lambda ls: F.size(F.filter(ls, lambda x: x.rlike(r"^\s*" + STEP_PARTS.replace(r"(^|\D)", ""))))
         flat = T.trimmed(F.regexp_replace(F.regexp_replace(source, r"[ \t]*\n[ \t]*", " "), r"[ \t]+", " "))
-        steps = F.split(F.regexp_replace(flat, STEP_PARTS, "$1\n$2: "), "\n")
-        tidy = F.array_join(F.transform(F.slice(steps, F.lit(2), F.size(steps)), lambda x: T.trimmed(F.regexp_replace(x, r"^(\d{1,3}: )\s+|[ \t]{2,}", "$1"))), "\n")
-        labelled = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*(\d{1,3})(?:\s*[:：]\s*|\s*[.．]\s+)", "$1: "))
-        numbered = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*" + STEP_PARTS.replace(r"(^|\D)", ""))))
-        return F.when(numbered >= STEP_LINES, F.array_join(labelled, "\n")).when(F.regexp_count(flat, F.lit(STEP_PARTS)) >= 2, tidy).otherwise(source)
+        labelled = lambda ls: F.array_join(F.transform(ls, lambda x: F.regexp_replace(x, r"^\s*(\d{1,3})(?:\s*[:：]\s*|\s*[.．]\s+)", "$1: ")), "\n")
+
+        def tidy(line: Column) -> Column:
+            steps = F.split(F.regexp_replace(line, STEP_PARTS, "$1\n$2: "), "\n")
+            own = lambda s: F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s)), lambda x: T.trimmed(F.regexp_replace(x, r"^(\d{1,3}: )\s+|[ \t]{2,}", "$1"))), "\n")
+            return F.when(F.regexp_count(line, F.lit(STEP_PARTS)) >= 2, T.bound(steps, own)).otherwise(source)
+
+        return T.bound(lines, lambda ls: F.when(numbered(ls) >= STEP_LINES, labelled(ls)).otherwise(T.bound(flat, tidy)))
 
     return T.bound(stripped(text), by_lines)
 
@@ -113,9 +117,16 @@ def title_and_body(text: Column) -> Column:
     pattern = r"(?s)^(|.*?\D)(" + STEP_PARTS.replace(r"(^|\D)", "") + r".*)$"
 
     def parts(t: Column) -> Column:
-        before = T.trimmed(F.regexp_extract(t, pattern, 1))
-        titled = (F.regexp_extract(t, pattern, 1) != "") & (before.rlike(TITLE) | F.char_length(before).between(1, TITLE_CHARS))
-        return F.struct(F.when(titled, without_heading(before)).otherwise("").alias("title"), F.when(titled, T.trimmed(F.regexp_extract(t, pattern, 2))).otherwise(t).alias("body"))
+        # the words before the first step are looked for once, what they are is told once
+        def of(lead: Column) -> Column:
+            words = F.struct(lead.alias("lead"), T.trimmed(lead).alias("before"))
+            told = lambda w: F.struct(w["before"].alias("before"), ((w["lead"] != "") & (w["before"].rlike(TITLE) | F.char_length(w["before"]).between(1, TITLE_CHARS))).alias("titled"))
+            return T.bound(T.bound(words, told), shown)
+
+        def shown(w: Column) -> Column:
+            return F.struct(F.when(w["titled"], without_heading(w["before"])).otherwise("").alias("title"), F.when(w["titled"], T.trimmed(F.regexp_extract(t, pattern, 2))).otherwise(t).alias("body"))
+
+        return T.bound(F.regexp_extract(t, pattern, 1), of)
 
     return T.bound(T.trimmed(F.coalesce(text, F.lit(""))), parts)
 
@@ -130,7 +141,7 @@ def recovered(text: Column) -> Column:
     def lines(p: Column) -> Column:
         steps = F.filter(F.split(indented(one_line_a_step(p["body"])), "\n"), lambda x: T.trimmed(x) != "")
         enough = ~M.latex_heavy(p["body"]) & (M.compact_algorithm(p["body"]) | (F.regexp_count(p["body"], F.lit(M.STEP)) >= STEP_LINES))
-        return T.bound(steps, lambda s: F.when(enough & (F.size(s) >= STEP_LINES), F.struct(stripped(p["title"]).alias("title"), s.alias("lines"))))
+        return F.when(enough, T.bound(steps, lambda s: F.when(F.size(s) >= STEP_LINES, F.struct(stripped(p["title"]).alias("title"), s.alias("lines")))))
 
     return T.bound(stripped(text), lambda raw: F.when(M.compact_algorithm(raw), T.bound(title_and_body(raw), lines)))
 
