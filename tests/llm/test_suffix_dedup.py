@@ -90,3 +90,20 @@ def test_production_length_and_long_texts(spark, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = sorted((repr(d), *x) for (d, _), x in zip(rows, brute([t for _, t in rows], 400)))
     assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.remove_repeats(docs).collect()) == want
+
+
+def test_a_text_that_repeats_itself_has_one_row_for_a_context(spark, monkeypatch):
+    line = "one line of over forty bytes that stands in each text again and again; "
+    texts = [f"{i} {'xyzw'[i % 4] * i} {line * 12} {i * 7}" for i in range(8)]
+    met, real = [], S._of_classes
+
+    def counted(rows, classes):
+        out = real(rows, classes)
+        met.append((rows.count(), out.count(), classes.agg({"n": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(S, "_of_classes", counted)
+    check(spark, [*texts, "a" * 200], 40)
+    (rows, out, most), anchors = met[0], 2 * len(line) // (40 - 8)
+    # some context stands at over 80 places; rows follow the texts and the line's anchors
+    assert most >= 80 and out <= rows < 8 * 2 * anchors + 60
