@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from quillspark.llm import queries
 from quillspark.llm import suffix_dedup as S
 
 
@@ -107,3 +108,14 @@ def test_a_text_that_repeats_itself_has_one_row_for_a_context(spark, monkeypatch
     (rows, out, most), anchors = met[0], 2 * len(line) // (40 - 8)
     # some context stands at over 80 places; rows follow the texts and the line's anchors
     assert most >= 80 and out <= rows < 8 * 2 * anchors + 60
+
+
+def test_op1_shows_what_is_left(spark, tmp_path):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij k") for _ in range(n))
+    passage, clean = some(450), some(700)
+    rows = [(1, "ä" + some(300) + passage), (2, passage + some(300) + "é"), (3, clean), (4, None), (5, passage), (6, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r["text"] for i, r in out.items()} == {1: rows[0][1][:301], 2: rows[1][1][450:], 3: clean, 4: "", 5: "", 6: ""}
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in out.values())
