@@ -33,6 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ HELD_TOKENS = 4_000_000
 END = b"\n"
 #: Words that a task counts before it hands them on.
 COUNTED = 1_000_000
+#: Bytes of texts whose words are told apart at a time.
+CUT_BYTES = 4_000_000
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
@@ -68,8 +71,30 @@ def tokens(text: str | bytes | None) -> list[bytes]:
     return own
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with texts of about CUT_BYTES."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def distinct_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For strings: their distinct words and the end, which of these each token is, and each text's number of tokens."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends gives empty words
+    before = np.concatenate(([0], np.cumsum(full)))
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    numbers = before[offsets[1:]] - before[offsets[:-1]] + 1
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    of_words = np.ones(int(numbers.sum()), bool)
+    of_words[np.cumsum(numbers) - 1] = False
+    at = np.full(len(of_words), len(words) - 1, np.int32)
+    at[of_words] = coded.indices.to_numpy()
+    return words, at, numbers
 
 
 def _keep_memory() -> None:
@@ -381,8 +406,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in _texts(batch):
-            counts.update(tokens(text))
+        for part in _cut(batch):
+            words, at, _ = distinct_tokens(part.column("text"))
+            counts.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist())))
             if len(counts) > COUNTED:
                 yield handed_on()
     if counts:
@@ -441,32 +467,21 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_memory()
         words = shared.value
-        get, size, logs, rare_words = words.ids.get, words.vocabulary, words.logs, _Rare(words.vocabulary)
-        codes = np.append(words.codes(), np.int16(0))  # the last one is of the words that aren't frequent
-        for batch in batches:
-            flat, offsets, numbers, rare, rare_offsets = [], [0], [], [], [0]
-            for text in _texts(batch):
-                own = tokens(text)
-                ranks = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
-                ids = codes[ranks]
-                unknown = np.flatnonzero(ranks < 0)
-                if len(unknown):
-                    found = [rare_words[own[i]] for i in unknown.tolist()]
-                    ids[unknown] = [c for c, _ in found]
-                    rare += [h for _, h in found]
-                    ranks = ranks[ranks >= 0]
-                each = logs[ranks]
-                numbers.append((len(ranks), float(each.sum()), float(each[ranks >= size].sum())))
-                flat.append(ids)
-                offsets.append(offsets[-1] + len(ids))
-                rare_offsets.append(len(rare))
-            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-            n_frequent, frequent_logs, tail_logs = zip(*numbers) if numbers else ((), (), ())
-            columns = [
-                lists(offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int16), pa.int16())), pa.array(n_frequent, pa.int64()), pa.array(frequent_logs, pa.float64()), pa.array(tail_logs, pa.float64()),
-                lists(rare_offsets, pa.array(rare, pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "codes", "n_frequent", "frequent_logs", "tail_logs", "rare"])
+        size, rare_words = words.vocabulary, _Rare(words.vocabulary)
+        # the last ones are of the words that aren't frequent
+        codes, logs = np.append(words.codes(), np.int16(0)), np.append(words.logs, 0.0)
+        lists = lambda numbers, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(numbers))), pa.int32()), pa.array(values))
+        for batch in (part for whole in batches for part in _cut(whole)):
+            found, at, numbers = distinct_tokens(batch.column("text"))
+            ranks = np.fromiter(map(words.ids.get, found, repeat(-1)), np.int32, len(found))
+            ids, hashes, unknown = codes[ranks], np.zeros(len(found), np.int64), np.flatnonzero(ranks < 0)
+            if len(unknown):
+                ids[unknown], hashes[unknown] = zip(*[rare_words[found[i]] for i in unknown.tolist()])
+            ranks, begins = ranks[at], np.cumsum(numbers) - numbers
+            each, rare = logs[ranks], ranks < 0
+            n_rare = np.add.reduceat(rare.astype(np.int64), begins)
+            columns = [lists(numbers, ids[at]), numbers - n_rare, np.add.reduceat(each, begins), np.add.reduceat(np.where(ranks >= size, each, 0.0), begins), lists(n_rare, hashes[at[rare]])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(x if isinstance(x, pa.Array) else pa.array(x) for x in columns)], names=[*keep, "codes", "n_frequent", "frequent_logs", "tail_logs", "rare"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, {_ENCODED}")
