@@ -7,6 +7,7 @@ control in Chinese opens or closes a block only where an ASCII letter or digit f
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -44,13 +45,28 @@ CHINESE = r"(?i)中文|汉语|简体|繁体|Chinese"
 
 
 def stripped(text: Column) -> Column:
-    """Without emphasis, code marks and doubled blanks; labels end in a colon. Trimmed."""
+    """Without emphasis, code marks and doubled blanks; labels end in a colon. Trimmed. Patterns of a mark are skipped where a text doesn't hold it."""
+
+    def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+        for pattern, by in pairs:
+            text = F.regexp_replace(text, pattern, by)
+        return text
+
+    def where_held(mark: str, pairs: list[tuple[str, str]]) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.contains(t, F.lit(mark)), replaced(t, pairs)).otherwise(t)
+
     text = F.coalesce(text, F.lit(""))
-    for pattern, by in MARKS:
-        text = F.regexp_replace(text, pattern, by)
+    for mark, pairs in itertools.groupby(MARKS, _mark):
+        text = T.bound(text, where_held(mark, list(pairs))) if mark else replaced(text, list(pairs))
     return T.trimmed(text)
 
 
+def _mark(pair: tuple[str, str]) -> str | None:
+    """The mark without which a pattern of MARKS finds nothing, if there is one."""
+    outside = re.sub(r"\[[^\]]*\]", "", pair[0])
+    return next((mark for sign, mark in ((r"\r", "\r"), (r"\*", "*"), ("_", "_"), ("`", "`")) if sign in outside), None)
+
+
 def one_line_a_step(text: Column) -> Column:
     """Steps that share a line get lines of their own; what is before the first goes. Texts with less than two steps, or with lines already, keep theirs."""
 
@@ -211,7 +227,7 @@ def fenced(body: Column) -> Column:
 
 
 def _steps_of(body: Column) -> Column:
-    return M.compact_algorithm(body) & ~body.contains("`")
+    return ~body.contains("`") & M.compact_algorithm(body)
 
 
 def _with_title(title: Column, body: Column) -> Column:
@@ -220,12 +236,12 @@ def _with_title(title: Column, body: Column) -> Column:
 
 def _paragraph(text: Column) -> Column:
     """A paragraph of one line that is steps is split into its title and steps; of several lines, those that are steps get fences."""
-    dense = _steps_of(text) & (F.regexp_count(text, F.lit(LOOSE_MARK)) >= MARKED_STEPS)
+    dense = (F.regexp_count(text, F.lit(LOOSE_MARK)) >= MARKED_STEPS) & _steps_of(text)
     whole = T.bound(title_and_body(text), lambda p: _with_title(p["title"], p["body"]))
 
     def line(ls: Column) -> Callable[[Column, Column], Column]:
         ends = lambda i: ~F.coalesce(F.get(ls, i + 1), F.lit("x")).rlike(r"^\d")
-        return lambda x, i: F.when(_steps_of(x) & (F.regexp_count(x, F.lit(r"\d{1,3}\s*[:.：．]\s")) >= MARKED_STEPS) & ends(i), fenced(x)).otherwise(x)
+        return lambda x, i: F.when(ends(i) & (F.regexp_count(x, F.lit(r"\d{1,3}\s*[:.：．]\s")) >= MARKED_STEPS) & _steps_of(x), fenced(x)).otherwise(x)
 
     lines = T.bound(F.split(text, "\n"), lambda ls: F.array_join(F.transform(ls, line(ls)), "\n"))
     return F.when(text.contains("\n"), lines).when(dense, whole).otherwise(text)
@@ -233,10 +249,14 @@ def _paragraph(text: Column) -> Column:
 
 def _titled(text: Column) -> Column:
     """A title's line and the steps below it, or behind it in the line."""
-    title, below = F.substring_index(text, "\n", 1), F.regexp_replace(text, r"^[^\n]*\n?", "")
-    steps = ~M.latex_heavy(below) & ~below.contains("`") & (M.compact_algorithm(below) | M.compact_algorithm(text))
-    behind = T.bound(title_and_body(title), lambda p: F.when(_steps_of(p["body"]), F.concat(_with_title(p["title"], p["body"]), F.when(below != "", F.concat(F.lit("\n"), below)).otherwise(""))).otherwise(text))
-    return F.when((T.trimmed(below) != "") & steps, _with_title(without_heading(title), T.trimmed(below))).otherwise(behind)
+
+    def shown(below: Column) -> Column:
+        title = F.substring_index(text, "\n", 1)
+        steps = ~below.contains("`") & ~M.latex_heavy(below) & (M.compact_algorithm(below) | M.compact_algorithm(text))
+        behind = T.bound(title_and_body(title), lambda p: F.when(_steps_of(p["body"]), F.concat(_with_title(p["title"], p["body"]), F.when(below != "", F.concat(F.lit("\n"), below)).otherwise(""))).otherwise(text))
+        return F.when((T.trimmed(below) != "") & steps, _with_title(without_heading(title), T.trimmed(below))).otherwise(behind)
+
+    return T.bound(F.regexp_replace(text, r"^[^\n]*\n?", ""), shown)
 
 
 def _outside(text: Column) -> Column:

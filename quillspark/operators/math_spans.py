@@ -9,6 +9,7 @@ no formula of its kind can begin.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -160,11 +161,14 @@ def _times(text: Column, pattern: str) -> Column:
 
 
 def latex_heavy(text: Column) -> Column:
-    """A dump of formulas, which is never a list of steps."""
-    t = F.coalesce(text, F.lit(""))
-    commands, (subs, of_subs), (ranges, of_ranges) = _times(t, COMMAND), LATEX_COUNTS["subscripts"], LATEX_COUNTS["ranges"]
-    signs = [commands >= LATEX_COUNTS["commands"], _times(t, MATH_COMMAND) >= LATEX_COUNTS["math"], (_times(t, SUBSCRIPT) >= subs) & (commands >= of_subs), (_times(t, RANGE) >= ranges) & (commands >= of_ranges) & ~t.rlike(PSEUDOCODE)]
-    return (F.char_length(t) >= LATEX_CHARS) & F.greatest(*signs)
+    """A dump of formulas, which is never a list of steps. Each sign but the first needs a command, of which most texts have none."""
+
+    def heavy(t: Column) -> Column:
+        (subs, of_subs), (ranges, of_ranges) = LATEX_COUNTS["subscripts"], LATEX_COUNTS["ranges"]
+        signs = lambda commands: (commands >= LATEX_COUNTS["commands"]) | (_times(t, MATH_COMMAND) >= LATEX_COUNTS["math"]) | ((commands >= of_subs) & (_times(t, SUBSCRIPT) >= subs)) | ((commands >= of_ranges) & (_times(t, RANGE) >= ranges) & ~t.rlike(PSEUDOCODE))
+        return F.contains(t, F.lit("\\")) & (F.char_length(t) >= LATEX_CHARS) & T.bound(_times(t, COMMAND), signs)
+
+    return T.bound(F.coalesce(text, F.lit("")), heavy)
 
 
 #: Each row is enough: a sign and how often it occurs at least.
@@ -174,20 +178,36 @@ UNNUMBERED_SIGNS = {
     "author_led": r"(?m)^\s*(?:(?:19|20)\d{2}[a-z]?\s*[:.：]\s*)?[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]{1,32},\s+(?:[A-Z](?:\.-?|(?![A-Za-z0-9_]))){1,4}[,.;]",
 }
 UNNUMBERED_LISTS = [{"author_led": 1, "venue": 1, "year": 1, "comma": 3, "characters": 80}, {"arxiv": 2, "comma": 4}, {"venue": 3, "year": 2, "comma": 5}, {"year_led": 2, "venue": 2}]
+#: The order in which signs are looked for.
+SIGNS_BY_COST = ["comma", "characters", "arxiv", "year_led", "year", "author_led", "venue"]
 
 
 def reference_list(text: Column) -> Column:
-    """Whether a text is a list of references, by numbered entries or by what speaks for entries without numbers."""
-    t = F.coalesce(text, F.lit(""))
-    entries = F.filter(F.transform(F.split(t, r"\n+"), T.trimmed), lambda x: (x != "") & U.reference_entry(x))
-    numbered = (t.rlike(REFERENCE_HEADING) & (_times(t, ENTRY_MARK) >= 1)) | (_times(t, FALSE_STEP) >= 2) | (_times(t, ENTRY_AUTHOR) >= 2) | (F.size(entries) >= 2)
-    count = lambda sign: F.char_length(T.trimmed(t)) if sign == "characters" else _times(t, UNNUMBERED_SIGNS[sign])
-    lists = [F.least(*[count(sign) >= n for sign, n in row.items()]) for row in UNNUMBERED_LISTS]
-    return F.greatest(numbered, *lists)
+    """Whether a text is a list of references, by numbered entries or by what speaks for entries without numbers.
+
+    The cheapest signs come first, and none is looked for once the answer is known.
+    """
+
+    def listed(t: Column) -> Column:
+        entries = F.filter(F.transform(F.split(t, r"\n+"), T.trimmed), lambda x: (x != "") & U.reference_entry(x))
+        heading = t.rlike(REFERENCE_HEADING) & t.rlike(ENTRY_MARK)
+        bracketed = F.contains(t, F.lit("[")) & (heading | (_times(t, FALSE_STEP) >= 2) | (_times(t, ENTRY_AUTHOR) >= 2))
+        count = lambda sign: F.char_length(T.trimmed(t)) if sign == "characters" else _times(t, UNNUMBERED_SIGNS[sign])
+        # each list needs some commas or years, which are quickly counted, then its other signs in turn
+        lists = [functools.reduce(Column.__and__, [count(sign) >= row[sign] for sign in sorted(row, key=SIGNS_BY_COST.index)]) for row in UNNUMBERED_LISTS]
+        return bracketed | functools.reduce(Column.__or__, lists) | (F.size(entries) >= 2)
+
+    return T.bound(F.coalesce(text, F.lit("")), listed)
 
 
 def compact_algorithm(text: Column) -> Column:
-    """Several numbered steps, with words of pseudocode or more of them, which are neither references nor formulas."""
-    t = F.coalesce(text, F.lit(""))
-    steps = _times(t, STEP)
-    return (F.char_length(t) >= ALGORITHM_CHARS) & ~reference_list(t) & ~latex_heavy(t) & (steps >= STEPS) & (t.rlike(PSEUDOCODE) | (steps >= STEPS_ALONE))
+    """Several numbered steps, with words of pseudocode or more of them, which are neither references nor formulas.
+
+    Steps are counted first: most texts have too few, and are read no further.
+    """
+
+    def compact(t: Column) -> Column:
+        enough = lambda steps: (steps >= STEPS) & ((steps >= STEPS_ALONE) | t.rlike(PSEUDOCODE))
+        return (F.char_length(t) >= ALGORITHM_CHARS) & T.bound(_times(t, STEP), enough) & ~latex_heavy(t) & ~reference_list(t)
+
+    return T.bound(F.coalesce(text, F.lit("")), compact)

@@ -14,11 +14,11 @@ from quillspark.sources import tables
 BEGINNINGS, WORDS = ["Begin", "If", "While", "For all", "Else", "Else If", "End If", "End", "x", "Endless", "如果x", "Function f", "结束 y", "END WHILE"], 6
 
 
-def step_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, steps: each document's words, some of them to a numbered line that begins with a word of control or another."""
-    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
+def step_texts(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, other columns, steps: each document's words, some of them to a numbered line that begins with a word of control or another."""
+    rows = docs.select("doc_id", *others, F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
     line = lambda i: F.concat((i % 999 + 1).cast("string"), F.lit(": "), F.element_at(F.array(*map(F.lit, BEGINNINGS)), ((F.col("doc_id") + i * 5 + F.floor(i / 3)) % len(BEGINNINGS) + 1).cast("int")), F.lit(" "), F.array_join(F.slice(F.col("w"), i * WORDS + 1, F.lit(WORDS)), " "))
-    return rows.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), line), "\n").alias("steps"))
+    return rows.select("doc_id", *others, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / WORDS).cast("int")), line), "\n").alias("steps"))
 
 
 def algorithm_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ WORDS_SQL = f"""WITH p AS (SELECT o_orderkey, o_orderpriority, [{_PIECE(0, "o_or
 def algorithm_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps in one line each third document, below a title each other third, in front of the text as it is."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = step_texts(docs).join(docs, "doc_id").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Algorithm 1 All\n"), "steps")).when(F.col("doc_id") % 3 == 1, F.replace("steps", F.lit("\n"), F.lit(" "))).otherwise("").alias("steps"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = step_texts(docs, "text").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Algorithm 1 All\n"), "steps")).when(F.col("doc_id") % 3 == 1, F.replace("steps", F.lit("\n"), F.lit(" "))).otherwise("").alias("steps"), F.coalesce("text", F.lit("")).alias("text"))
     return A.formatted(rows.select("doc_id", F.concat("steps", F.lit("\n\n"), "text").alias("markdown")), "markdown").select("doc_id", "markdown")
 
 
