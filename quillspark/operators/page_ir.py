@@ -56,17 +56,15 @@ def is_array(v: Column) -> Column:
 
 def string(v: Column, key: str) -> Column:
     """The text under a key; null if it is something else."""
-    return F.when(_kind(_get(v, key)) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    return T.bound(_get(v, key), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def number(v: Column, key: str) -> Column:
-    x = _get(v, key)
-    return F.when(_kind(x).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, f"$.{key}", "double"))
+    return T.bound(_get(v, key), lambda x: F.when(_kind(x).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "double")))
 
 
 def whole(v: Column, key: str) -> Column:
-    x = number(v, key)
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1 << 31), x.cast("int"))
+    return T.bound(number(v, key), lambda x: F.when((x == F.floor(x)) & (F.abs(x) < 1 << 31), x.cast("int")))
 
 
 def array(v: Column, key: str) -> Column:
@@ -81,8 +79,8 @@ def box(v: Column, key: str = "bbox") -> Column:
     return F.when(right, F.transform(parts, lambda x: F.try_variant_get(x, "$", "double"))).otherwise(F.array(*[F.lit(0.0)] * 4))
 
 
-def _node(**fields: Column) -> Column:
-    return F.struct(*[(fields[k] if k in fields else F.lit(None)).cast(kind).alias(k) for k, kind in NODE.items()])
+def _node(wanted: list[str], **fields: Column) -> Column:
+    return F.struct(*[(fields[k] if k in fields else F.lit(None)).cast(NODE[k]).alias(k) for k in wanted])
 
 
 def _length(*texts: Column) -> Column:
@@ -93,27 +91,27 @@ def _named(v: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(string(v, "id"), F.lit("")), fallback)
 
 
-def _segments(block: Column, id: Column, at: Column) -> Column:
+def _segments(block: Column, id: Column, at: Column, wanted: list[str]) -> Column:
     """Text and formulas of a paragraph; one with a text and no segments is one segment."""
 
     def one(s: Column, i: Column) -> Column:
         read = F.struct(F.coalesce(string(s, "kind") == "inline_math", F.lit(False)).alias("math"), string(s, "text").alias("text"), string(s, "latex").alias("latex"), F.nullif(string(s, "id"), F.lit("")).alias("id"))
         named = lambda x: F.coalesce(x["id"], F.concat(id, F.when(x["math"], "-m").otherwise("-s"), i.cast("string")))
         return T.bound(read, lambda x: _node(
-            level=F.lit("segment"), block=at, place=i + 1, id=named(x), kind=F.when(x["math"], "inline_math").otherwise("text"), text=F.when(~x["math"], F.coalesce(x["text"], F.lit(""))),
+            wanted, level=F.lit("segment"), block=at, place=i + 1, id=named(x), kind=F.when(x["math"], "inline_math").otherwise("text"), text=F.when(~x["math"], F.coalesce(x["text"], F.lit(""))),
             latex=F.when(x["math"], F.coalesce(x["latex"], x["text"], F.lit(""))), line=whole(s, "algorithm_line"), box=box(s), chars=_length(x["text"], x["latex"]),
         ))
 
     text = F.coalesce(string(block, "text"), F.lit(""))
-    alone = _node(level=F.lit("segment"), block=at, place=F.lit(1), id=F.concat(id, F.lit("-s0")), kind=F.lit("text"), text=text, box=F.array(*[F.lit(0.0)] * 4), chars=_length(text))
+    alone = _node(wanted, level=F.lit("segment"), block=at, place=F.lit(1), id=F.concat(id, F.lit("-s0")), kind=F.lit("text"), text=text, box=F.array(*[F.lit(0.0)] * 4), chars=_length(text))
     found = F.transform(F.filter(array(block, "segments"), is_object), one)
     return F.when(F.size(found) > 0, found).when(T.trimmed(text) != "", F.array(alone)).otherwise(F.slice(found, 1, 0))
 
 
-def _caption(block: Column, id: Column, at: Column) -> Column:
+def _caption(block: Column, id: Column, at: Column, wanted: list[str]) -> Column:
     v = _get(block, "caption")
     text = F.coalesce(string(v, "text"), F.lit(""))
-    node = _node(level=F.lit("caption"), block=at, place=F.lit(1), id=_named(v, F.concat(id, F.lit("-caption"))), kind=F.lit("caption"), text=text, box=box(v), chars=_length(text))
+    node = _node(wanted, level=F.lit("caption"), block=at, place=F.lit(1), id=_named(v, F.concat(id, F.lit("-caption"))), kind=F.lit("caption"), text=text, box=box(v), chars=_length(text))
     return F.when(is_object(v), F.array(node)).otherwise(F.slice(F.array(node), 1, 0))
 
 
@@ -126,7 +124,7 @@ def _width(block: Column, rows: Column) -> Column:
     return F.greatest(F.coalesce(whole(block, "columns"), F.lit(0)), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)))
 
 
-def _cells(rows: Column, columns: Column, id: Column, at: Column) -> Column:
+def _cells(rows: Column, columns: Column, id: Column, at: Column, wanted: list[str]) -> Column:
     """Every row is filled up to the table's width."""
 
     def one(v: Column, r: Column, c: Column) -> Column:
@@ -135,13 +133,13 @@ def _cells(rows: Column, columns: Column, id: Column, at: Column) -> Column:
         role = F.when(is_object(v) & string(v, "role").isin("row_header", "header"), string(v, "role")).otherwise("data")
         named = F.when(is_object(v), _named(v, F.lit(None).cast("string")))
         named = F.coalesce(named, F.concat(id, F.lit("-r"), r.cast("string"), F.lit("-c"), c.cast("string")))
-        return _node(level=F.lit("cell"), block=at, place=2 + r * columns + c, row=r, col=c, id=named, kind=F.when(is_object(v), string(v, "kind")), text=text, role=role, chars=F.when(_kind(held) == "STRING", _length(text)).otherwise(0))
+        return _node(wanted, level=F.lit("cell"), block=at, place=2 + r * columns + c, row=r, col=c, id=named, kind=F.when(is_object(v), string(v, "kind")), text=text, role=role, chars=F.when(_kind(held) == "STRING", _length(text)).otherwise(0))
 
     places = F.filter(F.sequence(F.lit(0), F.greatest(columns - 1, F.lit(0))), lambda c: c < columns)
     return F.flatten(F.transform(rows, lambda row, r: F.transform(places, lambda c: T.bound(F.get(row, c), lambda v: one(v, r, c)))))
 
 
-def _block(v: Column, at: Column, page: Column, limits: dict[str, int]) -> Column:
+def _block(v: Column, at: Column, page: Column, limits: dict[str, int], wanted: list[str]) -> Column:
     """The block's node and all below it."""
     kind = F.when(string(v, "kind").isin(KINDS), string(v, "kind")).otherwise("plain_text")
     id = _named(v, F.concat(F.lit("p"), page.cast("string"), F.lit("-b"), at.cast("string")))
@@ -151,21 +149,26 @@ def _block(v: Column, at: Column, page: Column, limits: dict[str, int]) -> Colum
         table, figure = x["kind"] == "table", x["kind"] == "figure"
         wide = F.when(table, x["wide"])
         own = _node(
-            level=F.lit("block"), block=at, place=F.lit(0), id=x["id"], kind=x["kind"], text=F.when(x["kind"].isin(TEXT_KINDS), F.coalesce(string(v, "text"), F.lit(""))), latex=F.when(x["kind"] == "display_math", F.coalesce(string(v, "latex"), F.lit(""))),
+            wanted, level=F.lit("block"), block=at, place=F.lit(0), id=x["id"], kind=x["kind"], text=F.when(x["kind"].isin(TEXT_KINDS), F.coalesce(string(v, "text"), F.lit(""))), latex=F.when(x["kind"] == "display_math", F.coalesce(string(v, "latex"), F.lit(""))),
             role=F.nullif(T.trimmed(string(v, "role")), F.lit("")), content_role=F.nullif(T.trimmed(string(v, "content_role")), F.lit("")), frozen=(_kind(_get(v, "translatable")) == "BOOLEAN") & ~F.try_variant_get(v, "$.translatable", "boolean"), box=box(v),
             layout=string(v, "layout"), detector=string(v, "detector"), confidence=number(v, "confidence"), columns=wide, rows=F.when(table, F.size(x["rows"])),
             header_rows=F.when(table, F.least(F.greatest(F.coalesce(whole(v, "header_rows"), F.lit(0)), F.lit(0)), F.size(x["rows"]))), chars=_length(string(v, "text"), string(v, "latex"), string(v, "number")),
         )
         # a table over its limits is a fault: its cells are not made
         fits = table & (F.size(x["rows"]) <= limits["table_rows"]) & (wide <= limits["table_columns"]) & (F.size(x["rows"]) * wide <= limits["table_cells"])
-        below = F.when(x["kind"] == "paragraph", _segments(v, x["id"], at)).when(fits, F.concat(_caption(v, x["id"], at), _cells(x["rows"], x["wide"], x["id"], at))).when(table | figure, _caption(v, x["id"], at))
+        below = F.when(x["kind"] == "paragraph", _segments(v, x["id"], at, wanted)).when(fits, F.concat(_caption(v, x["id"], at, wanted), _cells(x["rows"], x["wide"], x["id"], at, wanted))).when(table | figure, _caption(v, x["id"], at, wanted))
         return F.concat(F.array(own), F.coalesce(below, F.slice(F.array(own), 1, 0)))
 
     return T.bound(named, nodes)
 
 
-def normalized(pages: DataFrame, ir: str = "ir", limits: dict[str, int] = LIMITS) -> DataFrame:
-    """pages with index, width, height, fault and nodes instead of the JSON column."""
+def normalized(pages: DataFrame, ir: str = "ir", limits: dict[str, int] = LIMITS, fields: list[str] | None = None) -> DataFrame:
+    """pages with index, width, height, fault and nodes instead of the JSON column.
+
+    fields: those of NODE that are asked for (None: all); others are not made. Without limits no node is counted.
+    """
+    unlimited = limits == UNLIMITED
+    wanted = [k for k in NODE if fields is None or k in fields or k == "id" or not unlimited]
     keys = [c for c in pages.columns if c != ir]
     v = F.col("_page")
     found = pages.select(*keys, F.try_parse_json(F.col(ir)).alias("_page"))
@@ -173,14 +176,14 @@ def normalized(pages: DataFrame, ir: str = "ir", limits: dict[str, int] = LIMITS
     fault = F.when(~is_object(v), "not_object").when(F.col("index").isNull() | (F.col("index") < 0), "bad_index").when(~is_array(_get(v, "blocks")), "bad_blocks").when(F.size("_blocks") > limits["blocks"], "blocks")
     found = found.withColumn("_fault", fault)
     blocks = F.filter(F.col("_blocks"), is_object)
-    nodes = F.when(F.col("_fault").isNull(), F.flatten(F.transform(blocks, lambda b, i: _block(b, i, F.col("index"), limits))))
+    nodes = F.when(F.col("_fault").isNull(), F.flatten(F.transform(blocks, lambda b, i: _block(b, i, F.col("index"), limits, wanted))))
     # an explode keeps the optimizer from copying the nodes into every use of them
     found = found.select(*keys, "index", "width", "height", "_fault", F.explode_outer(F.array(nodes)).alias("nodes"))
     each = lambda test: F.filter("nodes", test)
     over = lambda test: F.exists("nodes", lambda n: F.coalesce(test(n), F.lit(False)))
     ids = F.array_sort(F.transform("nodes", lambda n: n["id"]))
     twice = T.bound(ids, lambda s: F.array_min(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
-    faults = {
+    faults = {} if unlimited else {
         "segments": over(lambda n: (n["level"] == "segment") & (n["place"] > limits["segments"])), "table_rows": over(lambda n: n["rows"] > limits["table_rows"]), "table_columns": over(lambda n: (n["level"] == "block") & (n["columns"] > limits["table_columns"])),
         "table_cells": over(lambda n: n["rows"] * n["columns"] > limits["table_cells"]), "page_table_cells": F.size(each(lambda n: n["level"] == "cell")) > limits["page_table_cells"], "nodes": F.size("nodes") > limits["nodes"],
         "text_characters": F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + n["chars"]) > limits["text_characters"],

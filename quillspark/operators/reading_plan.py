@@ -10,9 +10,10 @@ go to the first node of their slot and the slot's other nodes become empty.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import units as U
@@ -32,25 +33,31 @@ NO_AUTHORS = [
 ]
 AUTHOR_SIGNS = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9\s,.\-–—*&†‡§¹²³⁴⁵⁶⁷⁸⁹⁰′'’]+$"
 AUTHOR_WORD, AUTHOR_NAME, AUTHOR_GLUE, AUTHOR_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)", r"^(?:[A-Z][a-zà-öø-ÿ]*|[A-Z]{2,3})$", ["and", "et", "al"], r"[\d¹²³⁴⁵⁶⁷⁸⁹⁰*†‡]"
+#: Fields of nodes that units are made of.
+FIELDS = "level id kind text role content_role frozen line layout".split()
 AUTHOR_CHARS, AUTHOR_WORDS, UNMARKED_NAMES, UNMARKED_CHARS = 220, (2, 20), 8, 90
 
 
 def author_line(text: Column) -> Column:
-    """Names of people with their marks, or an address."""
-    t = T.one_line(text)
-    words = T.all_matches(t, AUTHOR_WORD)
-    glue = lambda w: F.lower(w).isin(AUTHOR_GLUE)
-    names = F.size(F.filter(words, lambda w: ~glue(w)))
-    listed = F.size(words).between(*AUTHOR_WORDS) & (names >= 2) & F.forall(words, lambda w: glue(w) | w.rlike(AUTHOR_NAME))
-    short = t.rlike(AUTHOR_MARK) | ((names <= UNMARKED_NAMES) & (F.char_length(t) <= UNMARKED_CHARS))
-    other = F.greatest(*[t.rlike(p) for p in NO_AUTHORS])
-    return (t != "") & (F.char_length(t) <= AUTHOR_CHARS) & (t.rlike(ADDRESS) | (~other & t.rlike(AUTHOR_SIGNS) & listed & short))
+    """Names of people with their marks, or an address. A long line is neither, which is told first."""
+
+    def named(t: Column) -> Column:
+        glue = lambda w: F.lower(w).isin(AUTHOR_GLUE)
+        other = functools.reduce(Column.__or__, [t.rlike(p) for p in NO_AUTHORS])
+
+        def listed(words: Column) -> Column:
+            names = lambda n: (n >= 2) & (t.rlike(AUTHOR_MARK) | ((n <= UNMARKED_NAMES) & (F.char_length(t) <= UNMARKED_CHARS)))
+            return F.size(words).between(*AUTHOR_WORDS) & F.forall(words, lambda w: glue(w) | w.rlike(AUTHOR_NAME)) & T.bound(F.size(F.filter(words, lambda w: ~glue(w))), names)
+
+        return t.rlike(ADDRESS) | (t.rlike(AUTHOR_SIGNS) & ~other & T.bound(T.all_matches(t, AUTHOR_WORD), listed))
+
+    return T.bound(T.one_line(text), lambda t: (t != "") & (F.char_length(t) <= AUTHOR_CHARS) & named(t))
 
 
 def worth_translating(text: Column) -> Column:
     """A unit with prose besides its tokens."""
-    t = T.trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), U.TOKEN, ""))
-    return t.rlike(MEANING) & ~t.rlike(PAGE_NUMBER) & ~t.rlike(CITATION) & ~author_line(t) & ~U.reference_entry(t)
+    bare = T.trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), U.TOKEN, ""))
+    return T.bound(bare, lambda t: t.rlike(MEANING) & ~t.rlike(PAGE_NUMBER) & ~t.rlike(CITATION) & ~author_line(t) & ~U.reference_entry(t))
 
 
 def clause_groups(segments: Column) -> Column:
@@ -75,18 +82,26 @@ def clause_groups(segments: Column) -> Column:
 
 
 def _unit(id: Column, segments: Column) -> Column:
-    """id, text, tokens, slots (slot, id, text) of some segments."""
-    none = F.struct(F.array().cast("array<string>").alias("text"), F.array().cast("array<string>").alias("tokens"), F.array().cast("array<struct<slot:int,id:string,text:string>>").alias("slots"))
+    """id, text, tokens, slots (slot, id, text) of some segments; a text's slot is the number of formulas before it. No array grows by one at a time."""
+    math = lambda s: s["kind"] == "inline_math"
 
-    def step(state: Column, s: Column) -> Column:
-        token, math = U.placeholder(s["id"]), s["kind"] == "inline_math"
-        slot = F.struct(F.size(state["tokens"]).alias("slot"), s["id"].alias("id"), s["text"].alias("text"))
-        return F.struct(
-            F.array_append(state["text"], F.when(math, token).otherwise(s["text"])).alias("text"), F.when(math, F.array_append(state["tokens"], token)).otherwise(state["tokens"]).alias("tokens"),
-            F.when(math, state["slots"]).otherwise(F.array_append(state["slots"], slot)).alias("slots"),
-        )
+    def of(segments: Column) -> Column:
+        marks = F.transform(segments, lambda s: F.when(math(s), U.placeholder(s["id"])))
+        places = F.filter(F.transform(segments, lambda s, i: F.when(math(s), i)), lambda i: i.isNotNull())
+        return T.bound(F.struct(marks.alias("marks"), places.alias("places")), lambda m: shown(segments, m))
+
+    def shown(segments: Column, m: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), m["places"], F.array(F.size(segments)))
+        text = F.array_join(F.transform(segments, lambda s, i: F.when(math(s), F.get(m["marks"], i)).otherwise(s["text"])), "")
+        tokens = F.transform(m["places"], lambda i: F.get(m["marks"], i))
+        return F.struct(id.alias("id"), text.alias("text"), tokens.alias("tokens"), T.bound(bounds, lambda b: slots(segments, b)).alias("slots"))
+
+    def slots(segments: Column, bounds: Column) -> Column:
+        # the texts between a formula and the next
+        texts = lambda n, a, z: F.transform(F.slice(segments, a + 2, z - a - 1), lambda s: F.struct(n.alias("slot"), s["id"].alias("id"), s["text"].alias("text")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda n: texts(n, F.get(bounds, n), F.get(bounds, n + 1))))
 
-    return F.aggregate(segments, none, step, lambda state: F.struct(id.alias("id"), F.array_join(state["text"], "").alias("text"), state["tokens"].alias("tokens"), state["slots"].alias("slots")))
+    return T.bound(segments, of)
 
 
 def _units_of(block: Column, nodes: Column) -> Column:
@@ -114,24 +129,40 @@ def _units_of(block: Column, nodes: Column) -> Column:
 
 
 def units(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, place, id, text, tokens, slots of normalized pages (page_ir.normalized); keys name a page."""
-    # a row for each block with its own nodes: a page's nodes are never copied for each of its blocks
-    placed = pages.select(*keys, F.posexplode("nodes").alias("_i", "_n")).groupBy(*keys, F.col("_n.block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", "_n"))).alias("_own"))
-    blocks = placed.select(*keys, F.transform("_own", lambda x: x["_n"]).alias("nodes")).select(*keys, "nodes", F.explode(F.filter("nodes", lambda n: n["level"] == "block")).alias("block"))
-    hidden = F.coalesce(F.col("block.frozen"), F.lit(False)) | F.coalesce(F.lower(F.coalesce("block.role", "block.content_role")) == "author", F.lit(False)) | F.coalesce(author_line(F.col("block.text")), F.lit(False))
-    each = blocks.filter(~hidden).select(*keys, F.col("block.block").alias("_block"), F.posexplode(_units_of(F.col("block"), F.col("nodes"))).alias("_at", "_unit"))
-    each = each.filter(T.trimmed(F.col("_unit.text")) != "").select(*keys, "_block", "_at", "_unit", worth_translating(F.col("_unit.text")).alias("_kept"), T.trimmed(F.col("_unit.text")).rlike(CITATION).alias("_cited"))
-
-    page = Window.partitionBy(*keys).orderBy("_block", "_at")
-    each = each.filter(F.col("_kept") | F.col("_cited")).withColumn("_place", F.sum(F.col("_kept").cast("int")).over(page) - 1).filter("_place >= 0")
-    joined = each.groupBy(*keys, F.col("_place").alias("place")).agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "_unit"))).alias("_all"))  # a unit and the citations after it
-    first = F.get("_all", 0)["_unit"]
-    cited = F.transform(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), lambda x: x["_unit"])
-    glue = F.when((F.size(cited) > 0) & ~first["text"].rlike(r"(?U)\s$"), " ").otherwise("")
-    text = F.concat(first["text"], glue, F.array_join(F.transform(cited, lambda u: T.trimmed(u["text"])), " "))
+    """keys, place, id, text, tokens, slots of normalized pages (page_ir.normalized); keys name a page.
+
+    All is done in the page's row, whose nodes lie block by block: nothing is dealt out and gathered again. An explode of one keeps what is used
+    several times from being made several times.
+    """
+    once = lambda rows, made, name: rows.select(*keys, F.explode(F.array(made)).alias(name))
+    starts = F.filter(F.transform("nodes", lambda n, i: F.when(n["level"] == "block", i)), lambda i: i.isNotNull())
+    own = lambda at, k: F.slice("nodes", at + 1, F.coalesce(F.get("_starts", k + 1), F.size("nodes")) - at)
+    blocks = pages.filter(F.size("nodes") > 0).select(*keys, "nodes", F.explode(F.array(starts)).alias("_starts"))
+    hidden = lambda b: F.coalesce(b["frozen"], F.lit(False)) | F.coalesce(F.lower(F.coalesce(b["role"], b["content_role"])) == "author", F.lit(False)) | F.coalesce(author_line(b["text"]), F.lit(False))
+
+    def candidates(nodes: Column) -> Column:
+        made = lambda b: T.bound(_units_of(b, nodes), lambda us: F.transform(us, flagged))
+        return T.bound(F.get(nodes, 0), lambda b: F.when(~hidden(b), made(b)))
+
+    def flagged(u: Column) -> Column:
+        told = lambda t: F.when(t != "", F.struct(worth_translating(u["text"]).alias("kept"), t.rlike(CITATION).alias("cited"), u.alias("unit")))
+        return T.bound(T.trimmed(u["text"]), told)
+
+    flags = F.transform("_starts", lambda at, k: T.bound(own(at, k), candidates))
+    given = F.flatten(F.filter(F.transform(flags, lambda us: F.filter(us, lambda x: x["kept"] | x["cited"])), lambda us: us.isNotNull()))
+    each = once(blocks, given, "_all")
+    # a unit and the citations after it; those before the first unit go
+    firsts = F.filter(F.transform("_all", lambda x, i: F.when(x["kept"], i)), lambda i: i.isNotNull())
+    each = each.select(*keys, "_all", F.explode(F.array(firsts)).alias("_firsts"))
+    groups = F.transform("_firsts", lambda at, k: F.slice("_all", at + 1, F.coalesce(F.get("_firsts", k + 1), F.size("_all")) - at))
+    joined = each.select(*keys, F.posexplode(groups).alias("place", "_group"))
+    first = F.get("_group", 0)["unit"]
+    cited = F.transform(F.slice("_group", 2, F.greatest(F.size("_group") - 1, F.lit(0))), lambda x: x["unit"])
+    glue = F.when((F.size("_group") > 1) & ~first["text"].rlike(r"(?U)\s$"), " ").otherwise("")
+    text = F.when(F.size("_group") > 1, F.concat(first["text"], glue, F.array_join(F.transform(cited, lambda u: T.trimmed(u["text"])), " "))).otherwise(first["text"])
     last = F.size(first["tokens"])
     more = F.flatten(F.transform(cited, lambda u: F.transform(u["slots"], lambda s: F.struct(last.alias("slot"), s["id"].alias("id"), s["text"].alias("text")))))
-    return joined.select(*keys, "place", first["id"].alias("id"), text.alias("text"), first["tokens"].alias("tokens"), F.concat(first["slots"], more).alias("slots"))
+    return joined.select(*keys, F.col("place").cast("long").alias("place"), first["id"].alias("id"), text.alias("text"), first["tokens"].alias("tokens"), F.concat(first["slots"], more).alias("slots"))
 
 
 def changes(rows: DataFrame, translated: Column, keys: list[str]) -> DataFrame:
